@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.packing import op9_packing
 from tessera.llm.simhash import op10_simhash
+from tessera.llm.substrings import op2_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
