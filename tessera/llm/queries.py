@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.packing import op9_packing
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.substrings import op2_substring_dedup
@@ -14,10 +15,11 @@ from tessera.llm.substrings import op2_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op7_mixing": op7_mixing,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL}
