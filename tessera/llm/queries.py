@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.packing import op9_packing
+from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.substrings import op2_substring_dedup
 
@@ -15,6 +16,7 @@ from tessera.llm.substrings import op2_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op7_mixing": op7_mixing,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
