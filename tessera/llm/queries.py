@@ -11,10 +11,12 @@ from tessera.llm.packing import op9_packing
 from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.substrings import op2_substring_dedup
+from tessera.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op7_mixing": op7_mixing,
