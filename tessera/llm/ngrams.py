@@ -1,6 +1,6 @@
 """Hashed character n-grams of batches of texts, and a linear classifier scaled by naive Bayes ratios.
 
-A feature is the presence of an n-gram of code points in a text, lower-cased
+A feature is the log density of an n-gram of code points in a text, lower-cased
 (A-Z) and with runs of white space as one space, a space at either end. It is
 scaled by its log-count ratio r between the classes; a logistic regression is
 then fitted on the scaled features (Wang and Manning, 2012).
@@ -34,8 +34,8 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, before[ends]
 
 
-def hits(points: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs; only features that `keep` marks, where given."""
+def hits(points: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, times) of each distinct pair; only features that `keep` marks, where given."""
     width, found = np.uint64(64 - bits), []
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     value = mixed(points.astype(np.uint64) + np.uint64(1))
@@ -50,8 +50,8 @@ def hits(points: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None
         same = owner[: len(feature)] == owner[n - 1 :]
         chosen = np.flatnonzero(same & keep[feature] if keep is not None else same)
         found.append((owner[chosen].astype(np.uint64) << np.uint64(bits)) | feature[chosen])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
+    pairs, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64), times
 
 
 def fit_logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray, width: int, weight: np.ndarray | None = None, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -74,6 +74,11 @@ def fit_logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, target:
     return w, b
 
 
+def strength(times: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Value of an n-gram before scaling: the logarithm of its density in the text."""
+    return np.log1p(times * 1000.0 / (length + 300.0))
+
+
 @dataclass
 class NgramModel:
     """A weight per hashed n-gram and an intercept."""
@@ -85,8 +90,8 @@ class NgramModel:
 
     def margins(self, column: pa.Array) -> np.ndarray:
         points, offsets = code_points(column)
-        row, feature = hits(points, offsets, self.weights != 0, self.sizes, self.bits)
-        return np.bincount(row, self.weights[feature], len(offsets) - 1) + self.intercept
+        row, feature, times = hits(points, offsets, self.weights != 0, self.sizes, self.bits)
+        return np.bincount(row, self.weights[feature] * strength(times, np.diff(offsets)[row]), len(offsets) - 1) + self.intercept
 
 
 def batched(texts: list[str | None], limit: int = 1 << 20):
@@ -101,30 +106,39 @@ def batched(texts: list[str | None], limit: int = 1 << 20):
         yield begin, pa.array(texts[begin:], pa.large_string())
 
 
-def fit_ngrams(texts: list[str | None], target: np.ndarray, features: int = 30_000, alpha: float = 1.0, penalty: float = 1e-4, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> NgramModel:
-    """Naive Bayes log-count ratios, the `features` most telling n-grams, then logistic regression on them."""
+def fit_ngrams(texts: list[str | None], target: np.ndarray, features: int = 30_000, alpha: float = 1.0, penalty: float = 1e-5, rare: float = 4.0, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> NgramModel:
+    """Naive Bayes log-count ratios, the `features` most telling n-grams, then logistic regression on them.
+
+    Rows of class 1, where it is the rarer, weigh up to `rare` times as much.
+    """
     target = np.asarray(target, float)
     if not len(texts) or target.min() == target.max():
         share = float(target.mean()) if len(texts) else 0.0
         return NgramModel(np.zeros(1 << bits, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), bits, sizes)
-    count = np.zeros((2, 1 << bits))
+    count, seen = np.zeros((2, 1 << bits)), np.zeros(1 << bits, np.int64)
     for begin, column in batched(texts):
-        row, feature = hits(*code_points(column), None, sizes, bits)
+        points, offsets = code_points(column)
+        row, feature, times = hits(points, offsets, None, sizes, bits)
+        value = strength(times, np.diff(offsets)[row])
+        seen += np.bincount(feature, minlength=1 << bits)
         for side in (0, 1):
-            count[side] += np.bincount(feature[target[begin + row] == side], minlength=1 << bits)
+            of = target[begin + row] == side
+            count[side] += np.bincount(feature[of], value[of], 1 << bits)
     ratio = np.log((count[1] + alpha) / (count[1].sum() + alpha)) - np.log((count[0] + alpha) / (count[0].sum() + alpha))
-    telling = np.where(count.sum(0) >= 3, np.abs(ratio) * np.sqrt(np.minimum(count[0], count[1].sum()) + count[1]), 0)
+    telling = np.where(seen >= 3, np.abs(ratio) * np.sqrt(np.minimum(count[0], count[1].sum()) + count[1]), 0)
     chosen = np.zeros(1 << bits, bool)
     chosen[np.argsort(-telling, kind="stable")[:features]] = True
     chosen &= telling > 0
     place = np.cumsum(chosen) - 1
-    rows, columns = [], []
+    rows, columns, values = [], [], []
     for begin, column in batched(texts):
-        row, feature = hits(*code_points(column), chosen, sizes, bits)
+        points, offsets = code_points(column)
+        row, feature, times = hits(points, offsets, chosen, sizes, bits)
         rows.append(begin + row)
         columns.append(feature)
-    row, feature = np.concatenate(rows), np.concatenate(columns)
-    w, b = fit_logistic(row, place[feature], ratio[feature], target, int(chosen.sum()), penalty=penalty)
+        values.append(strength(times, np.diff(offsets)[row]))
+    row, feature, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+    w, b = fit_logistic(row, place[feature], ratio[feature] * value, target, int(chosen.sum()), np.where(target == 1, min(rare, max(1.0, (1 - target).sum() / target.sum())), 1.0), penalty)
     weights = np.zeros(1 << bits, np.float32)
     weights[chosen] = (w * ratio[chosen]).astype(np.float32)
     return NgramModel(weights, b, bits, sizes)
