@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.language import op6_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.packing import op9_packing
 from tessera.llm.secrets import op3_secret_scan
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
