@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.covertree import op4_embedding_near_dedup
 from tessera.llm.fingerprints import op5_fingerprints
 from tessera.llm.language import op6_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
