@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.covertree import op4_embedding_near_dedup
@@ -11,6 +12,7 @@ from tessera.llm.fingerprints import op5_fingerprints
 from tessera.llm.language import op6_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.packing import op9_packing
+from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.substrings import op2_substring_dedup
@@ -26,8 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprints": op5_fingerprints,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
