@@ -23,13 +23,17 @@ one queue, last; repeated rows are packed each; an empty table gives no piece.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +54,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The vocabulary's pre-tokeniser pattern, and the printable Latin-1 characters it is applied to here.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_KNOWN = json.dumps(_PIECES.pattern)
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """Characters that byte-level vocabularies write bytes as: printable ones as they are, the rest from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokens:
     """Token ids of whole texts, from a bounded memo of the ids of single words.
 
@@ -63,8 +80,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Only the known pre-tokeniser is taken apart; any other vocabulary goes through the library as a whole.
+        self.byte_level = _KNOWN in Path(path).read_text(encoding="utf-8")[:4000]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.names = _byte_names()
 
     def _split(self, text: str) -> list[str]:
         if "<|" not in text:
@@ -77,6 +98,16 @@ class WordTokens:
             text = text.replace(space, " ")
         return text.split(" ")
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token of Latin-1 characters, by the model alone."""
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= _MEMO_WORDS // 2:
+                self.pieces.clear()
+            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+            found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(named)]
+        return found
+
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Little-endian ids of each text, each with the end token."""
         lists = [self._split(t) if t else [] for t in texts]
@@ -85,9 +116,14 @@ class WordTokens:
         if len(memo) + len(missing) > _MEMO_WORDS:
             memo.clear()
             missing = list(set(chain.from_iterable(lists)))
-        fresh = {}
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
+        fresh, rest = {}, []
+        for word in missing:
+            if len(word) <= _MEMO_CHARS and _PLAIN.fullmatch(word) and "<|" not in word and self.byte_level:
+                fresh[word] = np.array([i for piece in _PIECES.findall(word.lower()) for i in self._piece(piece)], self.kind).tobytes()
+            else:
+                rest.append(word)
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 fresh[word] = np.array(found.ids, self.kind).tobytes()
         long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > _MEMO_CHARS]}
