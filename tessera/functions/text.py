@@ -49,11 +49,14 @@ def normalize(c: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, "(?U)\\s+", " ")))
 
 
-@F.pandas_udf("string")
-def normalize_exact(s: pd.Series) -> pd.Series:
-    """The same for every character that decomposes, ligatures included."""
-    marks = s.str.normalize("NFKD").map(lambda t: None if t is None else "".join(c for c in t if not unicodedata.combining(c)))
-    return marks.str.split().str.join(" ").str.lower()
+def normalize_exact(c: Column | str) -> Column:
+    """The same for every character that decomposes, ligatures included; an Arrow function."""
+
+    def run(s: pd.Series) -> pd.Series:
+        plain = s.str.normalize("NFKD").map(lambda t: None if t is None else "".join(x for x in t if not unicodedata.combining(x)))
+        return plain.str.split().str.join(" ").str.lower()
+
+    return F.pandas_udf(run, "string")(_col(c))
 
 
 def stem(t: Column) -> Column:
