@@ -24,6 +24,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,25 @@ from tessera.llm.common import Scratch, components, table
 
 COSINE, BLOCK, MOST_PIVOTS = 0.95, 4096, 1024
 _RADII = [2.0 ** -k for k in range(0, 6)]
-_SLACK, _EXPANDED = 1e-6, 1 << 19
+#: Allowances for rounding: of radii, and of dot products in single precision.
+_SLACK, _SINGLE, _EXPANDED = 1e-6, 1e-5, 1 << 19
 
 
 class CoverTree:
-    """Levels of nodes over unit vectors; every node covers a run of the reordered vectors."""
+    """Levels of nodes over unit vectors in tree order; every node covers a run of them.
 
-    def __init__(self, x: np.ndarray):
-        near = (x @ x.T).astype(np.float32)
+    A level holds, per node, its centre (the first vector of its run), its
+    covering radius and its first child on the next level.
+    """
+
+    def __init__(self, x: np.ndarray, levels: list[tuple]):
+        self.x, self.levels = x.astype(np.float32), levels
+
+    @staticmethod
+    def build(x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """(order of the vectors, levels)."""
+        single = x.astype(np.float32)
+        near = single @ single.T
         order, borders = np.arange(len(x)), [np.array([0, len(x)])]
         for radius in _RADII:
             least = 1 - radius * radius / 2
@@ -56,22 +68,21 @@ class CoverTree:
                     runs.append(left[inside])
                     begins.append(begins[-1] + len(runs[-1]))
                     left = left[~inside]
-            order = np.concatenate(runs) if runs else order
+            order = np.concatenate(runs)
             borders.append(np.array(begins))
         borders.append(np.arange(len(x) + 1))
-        self.order, self.x = order, x[order]
-        self.levels = []  # per level: first vector (the centre) of each node, its radius, first child on the next level
+        levels, x = [], x[order]
         for k, border in enumerate(borders):
             centre = border[:-1]
-            apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.x, self.x[np.repeat(centre, np.diff(border))])))
-            radius = np.maximum.reduceat(apart, centre) + _SLACK if len(centre) else apart
+            apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[np.repeat(centre, np.diff(border))])))
             child = np.searchsorted(borders[k + 1], border) if k + 1 < len(borders) else None
-            self.levels.append((centre, radius, child))
+            levels.append((centre, np.maximum.reduceat(apart, centre) + _SLACK, child))
+        return order, levels
 
 
 def near_pairs(a: CoverTree, b: CoverTree, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions (in a.order, in b.order) whose vectors reach the cosine, in pieces of bounded size."""
-    reach = math.sqrt(2 - 2 * cosine) + _SLACK
+    """Pairs of positions whose vectors reach the cosine to single precision, or nearly, in pieces of bounded size."""
+    reach = math.sqrt(2 - 2 * cosine + _SINGLE) + _SLACK
     stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, p, q = stack.pop()
@@ -87,8 +98,10 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float = COSINE) -> Iterator[t
                 for at in range(0, len(ia), step):
                     part = ia[at : at + step]
                     dot = a.x[ca[part]] @ b.x[cb[ib]].T
-                    least = 1 - np.minimum(2, reach + ra[part][:, None] + rb[ib][None, :]) ** 2 / 2
-                    i, j = np.nonzero(dot >= least)
+                    far = reach + ra[part].max() + rb[ib].max()
+                    i, j = np.nonzero(dot >= 1 - min(2, far) ** 2 / 2 - _SINGLE)  # a bound for all first
+                    ok = dot[i, j] >= 1 - np.minimum(2, reach + ra[part[i]] + rb[ib[j]]) ** 2 / 2 - _SINGLE
+                    i, j = i[ok], j[ok]
                     if len(i):
                         stack.append((level, part[i], ib[j]))
                 continue
@@ -100,10 +113,10 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float = COSINE) -> Iterator[t
             pa_, pb_ = p, q
         dot = np.einsum("ij,ij->i", a.x[ca[pa_]], b.x[cb[pb_]])
         if ka is None:
-            hit = dot >= cosine - 1e-12
+            hit = dot >= cosine - _SINGLE
             yield ca[pa_[hit]], cb[pb_[hit]]
             continue
-        keep = dot >= 1 - np.minimum(2, reach + ra[pa_] + rb[pb_]) ** 2 / 2
+        keep = dot >= 1 - np.minimum(2, reach + ra[pa_] + rb[pb_]) ** 2 / 2 - _SINGLE
         p, q = pa_[keep], pb_[keep]
         na, nb = ka[p + 1] - ka[p], kb[q + 1] - kb[q]
         # Children pairs, in portions of bounded size.
@@ -148,12 +161,11 @@ def _linked(pair: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Counts and component links of two blocks (or one with itself)."""
     trees, ids, weights, raw = [], [], [], []
     for r in pair.sort_values("side").itertuples():
-        x = np.frombuffer(r.vectors, np.float64).reshape(len(np.frombuffer(r.ids, np.int64)), -1)
-        tree = CoverTree(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
-        trees.append(tree)
-        raw.append(x[tree.order])
-        ids.append(np.frombuffer(r.ids, np.int64)[tree.order])
-        weights.append(np.frombuffer(r.weights, np.int64)[tree.order])
+        x = np.frombuffer(r.vectors, np.float32 if r.single else np.float64).reshape(len(r.ids) // 8, -1).astype(np.float64)
+        trees.append(CoverTree(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], pickle.loads(r.levels)))
+        raw.append(x)
+        ids.append(np.frombuffer(r.ids, np.int64))
+        weights.append(np.frombuffer(r.weights, np.int64))
     same = len(trees) == 1
     a, b = trees[0], trees[-1]
     shift = 0 if same else len(ids[0])
@@ -196,12 +208,16 @@ def _blocks(keyed: DataFrame, spark: SparkSession, scratch: Scratch, block: int)
         x = np.stack([np.frombuffer(v, np.float64) for v in group["v"]])
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         centre = unit.mean(0)
+        order, levels = CoverTree.build(unit)
+        x = x[order]
+        single = bool((x.astype(np.float32) == x).all())
         return pd.DataFrame({
             "size": [x.shape[1]], "centre": [centre.tolist()], "radius": [float(np.linalg.norm(unit - centre, axis=1).max()) + _SLACK],
-            "ids": [group["key"].to_numpy(np.int64).tobytes()], "weights": [group["weight"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()],
+            "ids": [group["key"].to_numpy(np.int64)[order].tobytes()], "weights": [group["weight"].to_numpy(np.int64)[order].tobytes()],
+            "single": [single], "vectors": [(x.astype(np.float32) if single else x).tobytes()], "levels": [pickle.dumps(levels)],
         })
 
-    out = cut.groupBy("cell", "size", "part").applyInPandas(packed, "size int, centre array<double>, radius double, ids binary, weights binary, vectors binary")
+    out = cut.groupBy("cell", "size", "part").applyInPandas(packed, "size int, centre array<double>, radius double, ids binary, weights binary, single boolean, vectors binary, levels binary")
     return scratch.table(out.withColumn("block", F.xxhash64("ids")), "blocks")
 
 
@@ -232,7 +248,7 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     apart = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
     pairs = left.join(right, "size").where(F.col("a") <= F.col("b")).where(apart <= F.col("radius_a") + F.col("radius_b") + reach).select("a", "b")
     sides = pairs.select("a", "b", F.explode(F.expr("CASE WHEN a = b THEN array(named_struct('side', 0, 'block', a)) ELSE array(named_struct('side', 0, 'block', a), named_struct('side', 1, 'block', b)) END")).alias("s"))
-    work = scratch.table(sides.select("a", "b", "s.side", "s.block"), "work").join(blocks.select("block", "ids", "weights", "vectors"), "block")
+    work = scratch.table(sides.select("a", "b", "s.side", "s.block"), "work").join(blocks.select("block", "ids", "weights", "single", "vectors", "levels"), "block")
     found = work.groupBy("a", "b").applyInPandas(lambda pair: _linked(pair, cosine), "key long, links long, near long")
     found = scratch.table(found, "found")
     counted = found.groupBy("key").agg(F.sum("links").alias("others"))
