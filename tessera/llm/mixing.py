@@ -149,20 +149,22 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, se
         "ELSE concat(done, array(named_struct('from', p.from, 'to', p.to))) END)"
     )).alias("run")).groupBy("id", "tag", "nth", "size").agg(F.collect_list("run").alias("_runs"))
     joined = scratch.table(joined, "runs")
+    # The row travels as one struct, so columns of any name keep their values.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     original = Window.partitionBy("_id", "_tag").orderBy(F.lit(0))
-    tagged = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_tag": F.xxhash64(text)})
+    tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("_text"))
     many = scratch.table(tagged.groupBy("_id", "_tag").agg(F.count("*").alias("rows")).where("rows > 1").select("_id", "_tag"), "many")
     once = tagged.join(many, ["_id", "_tag"], "left_anti").withColumn("_nth", F.lit(1))
     again = tagged.join(many, ["_id", "_tag"], "left_semi").withColumn("_nth", F.row_number().over(original))
     found = once.unionByName(again).join(joined, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")) & (F.col("_nth") == F.col("nth")))
-    found = found.withColumn("_words", F.when(F.exists("_runs", lambda r: r["to"] - r["from"] < F.col("size")), F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"))))
+    found = found.withColumn("_words", F.when(F.exists("_runs", lambda r: r["to"] - r["from"] < F.col("size")), F.regexp_extract_all("_text", F.lit(f"({WORD_PATTERN})"))))
     each = found.withColumn("_run", F.explode("_runs"))
-    part = F.when(F.col("_run.to") - F.col("_run.from") == F.col("size"), text).otherwise(F.expr("array_join(slice(_words, cast(_run.from AS int) + 1, cast(_run.to - _run.from AS int)), ' ')"))
-    each = each.withColumn("text", part)
+    part = F.when(F.col("_run.to") - F.col("_run.from") == F.col("size"), F.col("_text")).otherwise(F.expr("array_join(slice(_words, cast(_run.from AS int) + 1, cast(_run.to - _run.from AS int)), ' ')"))
+    each = each.select("_row", part.alias("_text"))
+    columns = {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return each.select(*docs.columns)
+        columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return each.select(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

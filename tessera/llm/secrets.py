@@ -114,17 +114,20 @@ def redacted(spark: SparkSession, docs: DataFrame, mark: str = REDACTED) -> Data
     """docs with every span replaced by the mark, overlapping spans by one; n_chars, where present, follows."""
     spans = scan_secrets(spark, docs).where("size(spans) > 0").select("id", "tag", "spans").groupBy("id", "tag").agg(F.first("spans").alias("_spans"))
     spans = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
+    # The row travels as one struct, so columns of any name keep their values.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_tag": F.xxhash64(text)}).join(spans, ["_id", "_tag"], "left")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag")).join(spans, ["_id", "_tag"], "left")
     cut = F.expr(
         "aggregate(_spans, named_struct('at', 0, 'out', ''), (s, p) -> CASE WHEN p.start >= s.at "
-        f"THEN named_struct('at', p.end, 'out', concat(s.out, substring(text, s.at + 1, p.start - s.at), '{mark}')) "
-        "ELSE named_struct('at', greatest(s.at, p.end), 'out', s.out) END, s -> concat(s.out, substring(text, s.at + 1)))"
+        f"THEN named_struct('at', p.end, 'out', concat(s.out, substring(_row.text, s.at + 1, p.start - s.at), '{mark}')) "
+        "ELSE named_struct('at', greatest(s.at, p.end), 'out', s.out) END, s -> concat(s.out, substring(_row.text, s.at + 1)))"
     )
-    out = keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
+    found = F.col("_spans").isNotNull()
+    out = keyed.select("_row", F.when(found, cut).otherwise(F.col("_row.text")).alias("_text"), found.alias("_found"))
+    columns = {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("_found"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")).alias("n_chars")
+    return out.select(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
