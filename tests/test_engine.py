@@ -41,6 +41,16 @@ def test_citations_verify_and_no_orphans(answers):
     assert all(r.marker in text[r.trace_id] for r in rows)
 
 
+def test_pruned_citations(spark, answers):
+    from tessera.operators.evidence import prune_citations
+
+    prose = spark.createDataFrame([("q1", "only [1] is used")], "trace_id string, answer string")
+    none = answers.conflicts.where("false")
+    assert [r.marker for r in prune_citations(answers.citations, prose, none).collect()] == ["[1]"]
+    silent = spark.createDataFrame([("q1", "nothing")], "trace_id string, answer string")
+    assert prune_citations(answers.citations, silent, none).count() == answers.citations.count()
+
+
 def test_out_of_domain_abstains(answers):
     row = {r.trace_id: r for r in answers.answers.collect()}["q2"]
     assert row.abstained and row.confidence == 0.0
@@ -56,6 +66,16 @@ def test_transcript_is_totally_ordered(answers):
         assert n == list(range(1, len(n) + 1))
 
 
+def test_feedback_moves_weights_within_bounds(spark):
+    engine = Engine(spark, typed_documents(spark.createDataFrame(ROWS[:3], SCHEMA)))
+    routed = spark.createDataFrame([(k, "technical", True, False) for k in range(30)] + [(0, "compliance", False, True)], "seq int, domain string, selected boolean, expected boolean")
+    agents = spark.createDataFrame([(0, "technical", 1.0, False, False), (1, "business", 0.0, False, False), (2, "compliance", 1.0, True, False)], "seq int, domain string, rating double, failed boolean, abstained boolean")
+    learnt = engine.apply_feedback(routed, agents)
+    assert learnt.routing_weights["technical"] == 0.6 and learnt.routing_weights["compliance"] > 1
+    assert learnt.trust["technical"] > 1 > learnt.trust["business"] and learnt.trust["compliance"] == 1 and learnt.alpha["business"] < 1
+    assert engine.restored(learnt.state()).trust == learnt.trust
+
+
 def test_empty_query_fails(spark):
     engine = Engine(spark, typed_documents(spark.createDataFrame(ROWS[:2], SCHEMA)))
     with pytest.raises(Exception, match="empty query"):
