@@ -37,7 +37,7 @@ from tessera.llm.textblocks import WORD_PATTERN
 BLOCK, SHARD, ROUNDS, MOST = 128, 1024, 20, 3
 WEIGHTS = (5, 2, 1)
 #: Rows of a bucket, about, and draws that one row of the plan unfolds into at most.
-BUCKET_ROWS, UNFOLD = 20_000, 8192
+BUCKET_ROWS, UNFOLD = 2_000, 8192
 
 
 def _hash(text: str) -> str:
@@ -114,7 +114,8 @@ def block_shares(rows: DataFrame, plan: DataFrame, block: int = BLOCK, seed: str
     drawn = block_draws(plan, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
     shares = rows.where("size > 0").select("*", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
     shares = shares.select("*", F.expr(f"greatest(block * {block} - begin, 0L)").alias("from"), F.expr(f"least((block + 1) * {block} - begin, size)").alias("to"))
-    return shares.join(drawn, ["rank", "block"]).select("*", (F.col("to") - F.col("from")).alias("words"))
+    # Draws unfold from a few plan rows, so their estimated size is far too small; they must not be broadcast.
+    return shares.join(drawn.hint("merge"), ["rank", "block"]).select("*", (F.col("to") - F.col("from")).alias("words"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
@@ -124,7 +125,7 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "m
     key = ["doc_id", "size", "source_size", "target", "rank", "begin"]
     taken = block_shares(rows, plan, block, seed).groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
-    words = rows.where("size > 0").join(taken.select("rank", "begin", "taken"), ["rank", "begin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = rows.where("size > 0").join(taken.select("rank", "begin", "taken").hint("merge"), ["rank", "begin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return words.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
