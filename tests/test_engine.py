@@ -12,6 +12,8 @@ from tessera.plans.engine import Engine
 from tessera.sources.corpus import SCHEMA, load_corpus, typed_documents, valid_documents
 from tessera.streaming.ingest import start_ingest
 
+from tests.conftest import DATA
+
 ROWS = [
     ("t1", "technical", "Latency Guide", "Begin latency triage by checking the main dashboard. Logs are retained for 90 days in the index. Deploy the service with a canary in production.", "ops", "runbook", "1.0", "2025-01-10", None, "active", ["api"]),
     ("t2", "technical", "Deployment Runbook", "Deploy a new microservice through the pipeline. One reviewer must approve the deployment. Enable verbose request tracing in production to debug latency.", "ops", "runbook", "1.0", "2025-02-10", None, "active", []),
@@ -151,3 +153,11 @@ def test_harder_questions_get_larger_pools(spark):
     df = spark.range(1).select(*(U.retrieval_params(F.lit("requirement"), F.lit(c), F.lit(0.5), F.lit(True), F.lit(True), F.lit(1.0)).alias(n) for n, c in (("easy", 0.1), ("hard", 0.9))))
     r = df.first()
     assert r.hard.candidate_pool > r.easy.candidate_pool and r.hard.mmr_lambda < r.easy.mmr_lambda and r.easy.lexical_weight > r.easy.dense_weight
+
+
+def test_registered_query_answers_every_question(spark):
+    from tessera.plans.catalog import QUERIES
+
+    asked = {str(r.item_id) for r in spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet").collect()}
+    got = [r.trace_id for r in QUERIES["engine_answers"](spark, f"{DATA}/sf0.001").select("trace_id").collect()]
+    assert sorted(got) == sorted(asked) and len(asked) > 10
