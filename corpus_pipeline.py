@@ -5,7 +5,8 @@ between stages the rows are written as Parquet and read again. All but the last
 return the columns of `documents`.
 
 1. language_id: documents without a recognisable language go; lang becomes the prediction.
-2. simhash_near_dedup: of each group of near-duplicates the smallest doc_id stays.
+2. simhash_near_dedup: of each group of near-duplicates (Jaccard 0.8 or more over
+   five-word shingles, in chains) the smallest doc_id stays.
 3. secret_scan: secrets in the text give way to a mark.
 4. mix_sources: the texts are drawn to the target weights, at most three times each.
 5. pack: pieces of documents in sequences of at most 4096 tokens.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import Scratch, table
 from tessera.llm.language import with_language
 from tessera.llm.mixing import mixed_documents
+from tessera.llm.nearcopies import near_copies
 from tessera.llm.packing import pack
 from tessera.llm.secrets import redacted
 from tessera.llm.simhash import keep_one
@@ -30,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(spark, docs)
+    return keep_one(spark, docs, near_copies)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

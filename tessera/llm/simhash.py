@@ -18,7 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -125,13 +125,15 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, s
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, grouped: Callable[[SparkSession, DataFrame], DataFrame] = simhash_components) -> DataFrame:
     """The documents of one row per near-duplicate group: its smallest doc_id, all columns unchanged.
 
+    `grouped` gives doc_id and component_id of every row.
+
     Rows that repeat the kept doc_id count as one document; rows without a doc_id stay.
     """
     scratch = Scratch(spark)
-    found = simhash_components(spark, docs).where("doc_id = component_id")
+    found = grouped(spark, docs).where("doc_id = component_id")
     kept = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("same_id")), "kept")
     same = docs.join(kept.where("same_id > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     once = docs.join(kept.where("same_id = 1").select("doc_id"), "doc_id", "left_semi")
