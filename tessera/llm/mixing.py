@@ -4,7 +4,9 @@ The words of a source, documents one after another in hashed order, are packed
 into blocks of BLOCK words. A source draws its target's worth of blocks. Draws
 take the places of all output shards through one pseudorandom permutation, so
 the source counts of a shard are multinomial, drawn without replacement: whatever
-a shard gets, the totals are the targets to within a block. Draw j of a source
+a shard gets, the totals are the targets to within a block. The mixed documents
+lie in that order: a run of neighbouring blocks stays whole, at the slot of its
+first. op7_mixing gives totals per document, which shards do not change. Draw j of a source
 is block perm(j mod blocks) of pass j div blocks, another permutation for each
 source and pass; blocks are joined by index. Permutations are the swap-or-not
 shuffle (Hoang, Morris and Rogaway, 2012), which needs no table and no cycle
@@ -31,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, partitions, table
 from tessera.llm.textblocks import WORD_PATTERN
 
 BLOCK, SHARD, ROUNDS, MOST = 128, 1024, 20, 3
@@ -109,9 +111,14 @@ def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int =
     return scratch.table(out.select("doc_id", "tag", "size", "rank", "source_size", "target", (F.col("base") + F.col("within")).alias("begin")), "placed"), plan
 
 
-def block_shares(rows: DataFrame, plan: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """Each document's share of each block it lies in: rows' columns, block, from and words in the document, times drawn (1 to MOST)."""
-    drawn = block_draws(plan, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+def block_shares(rows: DataFrame, plan: DataFrame, block: int = BLOCK, seed: str = "mix", slots: bool = False) -> DataFrame:
+    """Each document's share of each block it lies in: rows' columns, block, from and words in the document, times drawn (1 to MOST).
+
+    With slots, also places: (pass, slot) of each draw.
+    """
+    draws = block_draws(plan, seed)
+    places = [F.array_sort(F.collect_list(F.struct("pass", "slot"))).alias("places")] if slots else []
+    drawn = draws.groupBy("rank", "block").agg(F.count("*").alias("times"), *places)
     shares = rows.where("size > 0").select("*", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
     shares = shares.select("*", F.expr(f"greatest(block * {block} - begin, 0L)").alias("from"), F.expr(f"least((block + 1) * {block} - begin, size)").alias("to"))
     # Draws unfold from a few plan rows, so their estimated size is far too small; they must not be broadcast.
@@ -129,25 +136,27 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "m
     return words.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """The mix as documents: for each pass the runs of a document's words that it takes, with the columns of docs.
+def sharded_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """The mix as documents: shard, slot, and for each pass the runs of a document's words that it takes, with the columns of docs.
 
     A run that is the whole document keeps its text as it is; another has its
     words joined by single spaces. n_chars, where present, is the run's length.
+    A run stays whole: its place is the slot its first block drew. The columns
+    of docs are under `row`.
     """
     scratch = Scratch(spark)
     rows, plan = placed(spark, docs, scratch, block)
     nth = Window.partitionBy("id", "tag").orderBy("begin")
     numbered = rows.select("*", F.coalesce("doc_id", F.lit(-1)).alias("id")).select("*", F.row_number().over(nth).alias("nth"))
-    shares = block_shares(numbered, plan, block, seed)
-    runs = shares.select("id", "tag", "nth", "size", "from", "to", F.explode(F.expr("sequence(1L, times)")).alias("pass"))
-    by_pass = runs.groupBy("id", "tag", "nth", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("parts"))
+    shares = block_shares(numbered, plan, block, seed, slots=True)
+    runs = shares.select("id", "tag", "nth", "size", "from", "to", F.explode("places").alias("place"))
+    by_pass = runs.groupBy("id", "tag", "nth", "size", "place.pass").agg(F.array_sort(F.collect_list(F.struct("from", "to", "place.slot"))).alias("parts"))
     # Neighbouring parts of a pass join into one run.
     joined = by_pass.select("id", "tag", "nth", "size", "pass", F.explode(F.expr(
-        "aggregate(parts, cast(array() AS array<struct<from:bigint,to:bigint>>), (done, p) -> "
+        "aggregate(parts, cast(array() AS array<struct<from:bigint,to:bigint,slot:bigint>>), (done, p) -> "
         "CASE WHEN size(done) > 0 AND element_at(done, -1).to = p.from "
-        "THEN concat(slice(done, 1, size(done) - 1), array(named_struct('from', element_at(done, -1).from, 'to', p.to))) "
-        "ELSE concat(done, array(named_struct('from', p.from, 'to', p.to))) END)"
+        "THEN concat(slice(done, 1, size(done) - 1), array(named_struct('from', element_at(done, -1).from, 'to', p.to, 'slot', element_at(done, -1).slot))) "
+        "ELSE concat(done, array(named_struct('from', p.from, 'to', p.to, 'slot', p.slot))) END)"
     )).alias("run")).groupBy("id", "tag", "nth", "size").agg(F.collect_list("run").alias("_runs"))
     joined = scratch.table(joined, "runs")
     # The row travels as one struct, so columns of any name keep their values.
@@ -161,11 +170,19 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, se
     found = found.withColumn("_words", F.when(F.exists("_runs", lambda r: r["to"] - r["from"] < F.col("size")), F.regexp_extract_all("_text", F.lit(f"({WORD_PATTERN})"))))
     each = found.withColumn("_run", F.explode("_runs"))
     part = F.when(F.col("_run.to") - F.col("_run.from") == F.col("size"), F.col("_text")).otherwise(F.expr("array_join(slice(_words, cast(_run.from AS int) + 1, cast(_run.to - _run.from AS int)), ' ')"))
-    each = each.select("_row", part.alias("_text"))
+    each = each.select("_row", part.alias("_text"), F.col("_run.slot").alias("slot"))
     columns = {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return each.select(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
+    row = F.struct(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
+    return each.select(F.expr(f"slot div {SHARD}").alias("shard"), "slot", row.alias("row"))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """The mix with the columns of docs, dealt out by shard, each shard's rows in the order of their slots."""
+    placed_rows = sharded_documents(spark, docs, block, seed)
+    dealt = placed_rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "slot")
+    return dealt.select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
