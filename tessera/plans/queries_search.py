@@ -129,6 +129,6 @@ def authority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsa_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latent cosine of benchmark texts with one another (a small table), top three each."""
     units = read(spark, sf_dir, "benchmark")
-    v = I.LatentBackend(components=32, vocabulary=1000).fit(units).encode(units).select("item_id", "vector").cache()
+    v = I.LatentBackend().fit(units).encode(units).select("item_id", "vector").cache()
     pairs = v.toDF("q", "qv").join(v, F.col("q") != F.col("item_id")).select("q", "item_id", F.round(S.cosine(F.col("qv"), F.col("vector")), 4).alias("similarity"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "item_id"))).where("rank <= 3")
