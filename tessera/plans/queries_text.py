@@ -143,6 +143,12 @@ def tfidf_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_weights(documents(spark, sf_dir)).where("w >= 0.2").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
+@query("tfidf_all_unit_weights")
+def tfidf_all_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit weight; tfidf_unit_weights, held by its SQL, gives those of 0.2 or more."""
+    return unit_weights(documents(spark, sf_dir)).select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
 @query("domain_centroid", f"WITH {TFIDF} SELECT domain, term, round(w, 6) AS w FROM c")
 def domain_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
