@@ -2,13 +2,15 @@
 
 A SimHash of 64 bits cannot tell likeness 0.8 (about 10 bits apart) by blocks, so
 pairs to look at come from the MinHash of `fingerprints`: 42 bands of six of its
-256 bins; a pair of likeness 0.8 shares no band once in 300,000 times, a closer
-one less often. Every link is then verified on the whole shingle sets.
+256 bins. Were bins independent, a pair of likeness 0.8 would share no band once in
+300,000 times; short texts fill bins with copies, so theirs is more often (not
+measured). Every link is then verified on the whole shingle sets.
 
 Equal shingle sets are collapsed first. In each band's file the members are
 compared with a hub, the smallest, and so linked at a linear cost. What is not
 yet in one component with the rest of its file is compared with all of the file's
-members outside its own component, so no link between components is left out.
+members outside its own component, so no link between components is left out;
+this part grows with the square of a file that holds many components.
 
 Defined cases: null, empty and wordless texts are one group; texts of under five
 words are one shingle; a null doc_id is never a component's smallest unless it is
