@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_folder
+
 #: Bytes of text that one numpy pass handles; its arrays take about 40 times this.
 SLICE_BYTES = 2 << 20
 
@@ -21,15 +23,14 @@ class Scratch:
 
     Writing a table cuts lineage as checkpoint() does, but compressed and in
     columns. Files survive a lost executor; they go when dropped or at the
-    driver's exit. Where the setting is absent (tests), a folder is made.
+    driver's exit. Where the setting is absent, only a local session (tests)
+    gets a folder.
     """
 
     def __init__(self, spark: SparkSession):
         context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
         self.spark = spark
-        self.root = f"{context.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         jvm = context._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(context._jsc.hadoopConfiguration())
@@ -68,11 +69,40 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(begin)
 
 
+def quoted(name: str, of: str = "") -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    safe = name.replace("`", "``")
+    return F.col(f"{of}.`{safe}`" if of else f"`{safe}`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct."""
+    return F.struct(*map(quoted, docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions to deal keyed work into: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Forest:
+    """Union-find over places 0..n-1, batch by batch; a root is the smallest place of its tree."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(flat := self.root[self.root], self.root):
+                self.root = flat
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text is divisible by 5: such labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(True))

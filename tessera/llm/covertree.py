@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components, table
+from tessera.llm.common import Forest, Scratch, components, table
 
 COSINE, BLOCK, MOST_PIVOTS = 0.95, 4096, 1024
 _RADII = [2.0 ** -k for k in range(0, 6)]
@@ -139,24 +139,6 @@ def _exact(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))) >= cosine
 
 
-class _Forest:
-    """Union-find over the vectors of two blocks, batch by batch."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if not len(i):
-                return
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (flat := self.root[self.root]).tolist() != self.root.tolist():
-                self.root = flat
-
-
 def _linked(pair: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Counts and component links of two blocks (or one with itself)."""
     trees, ids, weights, raw = [], [], [], []
@@ -169,7 +151,7 @@ def _linked(pair: pd.DataFrame, cosine: float) -> pd.DataFrame:
     same = len(trees) == 1
     a, b = trees[0], trees[-1]
     shift = 0 if same else len(ids[0])
-    count, forest = np.zeros(shift + len(ids[-1]), np.int64), _Forest(shift + len(ids[-1]))
+    count, forest = np.zeros(shift + len(ids[-1]), np.int64), Forest(shift + len(ids[-1]))
     for i, j in near_pairs(a, b, cosine):
         ok = _exact(raw[0][i], raw[-1][j], cosine)
         if same:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, quoted, table, whole_row
 
 SCOPE = 256
 #: The base patterns. Minimal lengths apply to matches (assign: to the value).
@@ -116,7 +116,7 @@ def redacted(spark: SparkSession, docs: DataFrame, mark: str = REDACTED) -> Data
     spans = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
     # The row travels as one struct, so columns of any name keep their values.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag")).join(spans, ["_id", "_tag"], "left")
+    keyed = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag")).join(spans, ["_id", "_tag"], "left")
     cut = F.expr(
         "aggregate(_spans, named_struct('at', 0, 'out', ''), (s, p) -> CASE WHEN p.start >= s.at "
         f"THEN named_struct('at', p.end, 'out', concat(s.out, substring(_row.text, s.at + 1, p.start - s.at), '{mark}')) "
@@ -127,7 +127,7 @@ def redacted(spark: SparkSession, docs: DataFrame, mark: str = REDACTED) -> Data
     columns = {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("_found"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")).alias("n_chars")
-    return out.select(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
+    return out.select(*(columns.get(c, quoted(c, "_row").alias(c)) for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components, sliced, table
+from tessera.llm.common import Scratch, components, quoted, sliced, table, whole_row
 from tessera.llm.textblocks import gathered, utf8, words
 
 BLOCKS, BLOCK_BITS, DISTANCE = 4, 16, 2
@@ -78,14 +78,15 @@ def text_fingerprints(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
+    """(doc_id, tag, fp) of every row; tag stands for the text, fp is the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             fp = text_fingerprints(batch.column("text"), shingle, seed)
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "fp": pa.array(fp.view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -113,31 +114,40 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
+    """One row per row of docs: doc_id, tag, fp (long), component_id (smallest doc_id reachable over links), root (the component)."""
     scratch = Scratch(spark)
     marked = scratch.table(fingerprints(docs, shingle, seed), "marked")
     distinct = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "distinct")
     roots = components(near_links(distinct.select("fp"), scratch), scratch, "near")
     member = roots.withColumnRenamed("node", "fp").join(distinct, "fp")
     smallest = member.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    linked = scratch.table(roots.withColumnRenamed("node", "fp").join(smallest, "root").select("fp", "component_id"), "linked")
-    owner = scratch.table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id")), "owner")
-    return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
+    linked = scratch.table(roots.withColumnRenamed("node", "fp").join(smallest, "root").select("fp", "component_id", "root"), "linked")
+    owner = scratch.table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"), F.coalesce("root", "fp").alias("root")), "owner")
+    return marked.join(owner, "fp").select("doc_id", "tag", "fp", "component_id", "root")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, grouped: Callable[[SparkSession, DataFrame], DataFrame] = simhash_components) -> DataFrame:
-    """The documents of one row per near-duplicate group: its smallest doc_id, all columns unchanged.
+    """One row of each near-duplicate group, all columns unchanged: that of the smallest doc_id, null ids last.
 
-    `grouped` gives doc_id and component_id of every row.
+    `grouped` gives doc_id, tag (of the text) and root (the group) of every row.
 
-    Rows that repeat the kept doc_id count as one document; rows without a doc_id stay.
+    Rows are told apart by id and text, so rows with one id and unrelated texts
+    are in groups of their own and each group keeps one. Among texts with the
+    kept id the one of the least tag stays; of rows with the same id and text the
+    one whose columns hash lowest. So the choice never depends on partitions.
     """
     scratch = Scratch(spark)
-    found = grouped(spark, docs).where("doc_id = component_id")
-    kept = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("same_id")), "kept")
-    same = docs.join(kept.where("same_id > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    once = docs.join(kept.where("same_id = 1").select("doc_id"), "doc_id", "left_semi")
-    return once.unionByName(same).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    found = grouped(spark, docs).groupBy("root", "doc_id", "tag").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag", "rows")).alias("least")
+    kept = scratch.table(found.groupBy("root").agg(least).select("least.doc_id", "least.tag", "least.rows"), "kept")
+    tagged = docs.select(whole_row(docs).alias("_row"), quoted("doc_id").cast("long").alias("_id"), F.xxhash64(quoted("text").cast("string")).alias("_tag"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return tagged.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")), "left_semi")
+
+    once = of(kept.where("rows = 1")).select("_row")
+    again = of(kept.where("rows > 1")).groupBy("_id", "_tag").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    return once.unionByName(again).select(*(quoted(c, "_row").alias(c) for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
