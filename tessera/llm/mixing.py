@@ -1,16 +1,22 @@
 """Mixing sources to target weights, in DataFrame and SQL functions only.
 
 The words of a source, documents one after another in hashed order, are packed
-into blocks of BLOCK words. A source draws its target's worth of blocks. Draws
-take the places of all output shards through one pseudorandom permutation, so
-the source counts of a shard are multinomial, drawn without replacement: whatever
-a shard gets, the totals are the targets to within a block. The mixed documents
-lie in that order: a run of neighbouring blocks stays whole, at the slot of its
-first. op7_mixing gives totals per document, which shards do not change. Draw j of a source
-is block perm(j mod blocks) of pass j div blocks, another permutation for each
-source and pass; blocks are joined by index. Permutations are the swap-or-not
-shuffle (Hoang, Morris and Rogaway, 2012), which needs no table and no cycle
-walking, keyed by MD5, so reruns agree on any cluster.
+into blocks of BLOCK words. The output is a row of slots of one block each, cut
+into shards of SHARD slots. Every slot draws its source by a hash of its own with
+the sources' target shares as chances, so the source counts of a shard are a
+multinomial draw, independent of the other shards'. The counts settle everything
+that follows: a source's slots are numbered in shard order by running sums of its
+counts, and slot number j of a source takes block perm(j mod blocks) of pass
+j div blocks, another permutation for each source and pass; blocks are joined by
+index. Draws of a source beyond its target (about the root of their number) go,
+in order, to the sources that drew short of theirs, so totals are the targets to
+within a block. Permutations are the swap-or-not shuffle (Hoang, Morris and
+Rogaway, 2012), which needs no table and no cycle walking, keyed by MD5, so
+reruns agree on any cluster.
+
+The mixed documents lie in slot order: a run of neighbouring blocks stays whole,
+at the slot of its first. op7_mixing tells, with the totals per document, the
+first shard that holds some of it.
 
 Places in a source come from a prefix sum in two steps, by bucket of the hashed
 id and then within it, so a source of any size is spread over many tasks.
@@ -33,13 +39,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, table
+from tessera.llm.common import Scratch, partitions, quoted, table, whole_row
 from tessera.llm.textblocks import WORD_PATTERN
 
 BLOCK, SHARD, ROUNDS, MOST = 128, 1024, 20, 3
 WEIGHTS = (5, 2, 1)
-#: Rows of a bucket, about, and draws that one row of the plan unfolds into at most.
-BUCKET_ROWS, UNFOLD = 2_000, 8192
+#: Rows of a bucket, about.
+BUCKET_ROWS = 2_000
+#: Slots that one task draws, about, most tasks for them, and shards whose counts are summed together first.
+TASK_SLOTS, MOST_TASKS, SHARD_GROUP = 16_384, 20_000, 4096
+#: Cells that a range of numbers is cut into for interval joins, and most rows of a broadcast table of sources.
+CELLS, BROADCAST_ROWS = 1024, 100_000
 
 
 def _hash(text: str) -> str:
@@ -81,18 +91,66 @@ def source_plan(totals: DataFrame, block: int = BLOCK) -> DataFrame:
     return drawn.withColumn("first_draw", F.sum("draws").over(Window.orderBy("rank")) - F.col("draws")).withColumn("all_draws", F.sum("draws").over(everything))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows, else to be joined by shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _located(points: DataFrame, at: str, intervals: DataFrame, total: int, rows: int) -> DataFrame:
+    """points, each with the interval (first, length, ...) that holds its column `at` of 0..total-1; joined by cell of the range."""
+    width = max(1, math.ceil(total / CELLS))
+    cells = intervals.where("length > 0").select("*", F.explode(F.expr(f"sequence(first div {width}, (first + length - 1) div {width})")).alias("cell"))
+    held = F.expr(f"{at} >= first AND {at} < first + length")
+    return points.withColumn("cell", F.expr(f"{at} div {width}")).join(_small(cells, rows + CELLS), "cell").where(held).drop("cell")
+
+
+def shard_counts(plan: DataFrame, scratch: Scratch, seed: str = "mix") -> DataFrame:
+    """The multinomial draw: per shard and rank of a source, the slots that drew it, in order."""
+    total, sources = plan.agg(F.coalesce(F.sum("draws"), F.lit(0)), F.count("*")).first()
+    shards = math.ceil(total / SHARD)
+    tasks = min(MOST_TASKS, math.ceil(total / TASK_SLOTS)) or 1
+    numbered = plan.sparkSession.range(0, shards, 1, tasks).select(F.col("id").alias("shard"), F.explode(F.expr(f"sequence(id * {SHARD}, least((id + 1) * {SHARD}, {total}L) - 1)")).alias("slot"))
+    chance = numbered.select("shard", "slot", F.expr(f"{_hash(f"concat('{seed}/slot/', slot)")} % {max(1, total)}L").alias("chance"))
+    chosen = _located(chance, "chance", plan.select("rank", F.col("first_draw").alias("first"), F.col("draws").alias("length")), total, sources)
+    return scratch.table(chosen.groupBy("shard", "rank").agg(F.array_sort(F.collect_list("slot")).alias("slots")), "shards")
+
+
+def slot_draws(plan: DataFrame, seed: str = "mix") -> DataFrame:
+    """One row per slot: slot, shard, rank and ordinal (the draw of its source), ordinals 0..draws-1 of each source once."""
+    scratch = Scratch(plan.sparkSession)
+    drawn = shard_counts(plan, scratch, seed)
+    counts = drawn.select("rank", "shard", F.size("slots").cast("long").alias("n"), F.expr(f"shard div {SHARD_GROUP}").alias("group"))
+    # Running sums in two steps, so a source is not one task.
+    groups = counts.groupBy("rank", "group").agg(F.sum("n").alias("held"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = scratch.table(groups.select("rank", "group", "held", F.coalesce(F.sum("held").over(before("rank", "group")), F.lit(0)).alias("base")), "groups")
+    within = counts.select("rank", "group", "shard", F.coalesce(F.sum("n").over(before("rank", "group", "shard")), F.lit(0)).alias("within"))
+    firsts = scratch.table(within.join(groups.select("rank", "group", "base"), ["rank", "group"]).select("rank", "shard", (F.col("base") + F.col("within")).alias("first")), "firsts")
+    held = groups.groupBy("rank").agg(F.sum("held").alias("drawn"))
+    ranked = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    against = plan.select("rank", "draws").join(held, "rank", "left").select("rank", "draws", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    against = against.select("*", F.expr("greatest(0L, drawn - draws)").alias("surplus"), F.expr("greatest(0L, draws - drawn)").alias("length"))
+    balance = scratch.table(against.select("*", F.coalesce(F.sum("surplus").over(ranked), F.lit(0)).alias("first_surplus"), F.coalesce(F.sum("length").over(ranked), F.lit(0)).alias("first")), "balance")
+    moved, sources, total = balance.agg(F.coalesce(F.sum("surplus"), F.lit(0)), F.count("*"), F.coalesce(F.sum("draws"), F.lit(0))).first()
+    tasks = min(MOST_TASKS, math.ceil(total / TASK_SLOTS)) or 1
+    # An explicit number of partitions: a few bytes here stand for much work later.
+    listed = drawn.repartition(tasks, "shard", "rank").join(firsts.repartition(tasks, "shard", "rank"), ["shard", "rank"])
+    numbered = listed.select("shard", "rank", "first", F.posexplode("slots").alias("nth", "slot")).select("shard", "rank", "slot", (F.col("first") + F.col("nth")).alias("ordinal"))
+    settled = numbered.join(_small(balance.select("rank", "draws", "first_surplus"), sources), "rank")
+    own = settled.where("ordinal < draws").select("slot", "shard", "rank", "ordinal")
+    spare = settled.where("ordinal >= draws").select("slot", "shard", (F.col("first_surplus") + F.col("ordinal") - F.col("draws")).alias("number"))
+    filled = _located(spare, "number", balance.select("rank", "drawn", "first", "length"), moved, sources)
+    return own.unionByName(filled.select("slot", "shard", "rank", (F.col("drawn") + F.col("number") - F.col("first")).alias("ordinal")))
+
+
 def block_draws(plan: DataFrame, seed: str = "mix") -> DataFrame:
-    """One row per draw: rank, pass, block, slot and shard of the output."""
+    """One row per slot of the output: slot, shard, rank of the source, pass and block."""
     label = f"concat('{seed}/', rank, '/', pass)"
-    passes = plan.where("draws > 0").select("*", F.explode(F.expr("sequence(0, (draws - 1) div blocks)")).alias("pass"))
-    passes = passes.select("*", F.expr("least(blocks, draws - pass * blocks)").alias("in_pass"))
-    parts = passes.select("*", F.explode(F.expr(f"sequence(0, in_pass - 1, {UNFOLD})")).alias("begin"))
-    parts = parts.select("rank", "pass", "blocks", "first_draw", "all_draws", "begin", F.expr(f"least({UNFOLD}, in_pass - begin)").alias("length"))
-    spread = parts.repartition(F.col("rank"), F.col("pass"), F.col("begin"))
-    keyed = spread.select("*", F.expr(label).alias("label"), F.expr(_rounds(label, "blocks")).alias("rounds"), F.expr(_rounds(f"'{seed}/slots'", "all_draws")).alias("slot_rounds"))
-    draws = keyed.select("*", F.explode(F.expr("sequence(begin, begin + length - 1)")).alias("draw"))
-    slot = _permuted("first_draw + pass * blocks + draw", "all_draws", "slot_rounds", f"'{seed}/slots'")
-    return draws.select("rank", "pass", _permuted("draw", "blocks", "rounds", "label").alias("block"), slot.alias("slot")).withColumn("shard", F.expr(f"slot div {SHARD}"))
+    passes = plan.where("draws > 0").select("rank", "blocks", F.explode(F.expr("sequence(0L, (draws - 1) div blocks)")).alias("pass"))
+    keyed = passes.select("rank", "pass", "blocks", F.expr(label).alias("label"), F.expr(_rounds(label, "blocks")).alias("rounds"))
+    draws = slot_draws(plan, seed).join(_small(plan.select("rank", F.col("blocks").alias("of")), n := plan.count()), "rank")
+    draws = draws.select("slot", "shard", "rank", F.expr("ordinal div of").alias("pass"), F.expr("ordinal % of").alias("draw")).join(_small(keyed, MOST * n), ["rank", "pass"])
+    return draws.select("slot", "shard", "rank", "pass", _permuted("draw", "blocks", "rounds", "label").alias("block"))
 
 
 def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +170,13 @@ def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int =
 
 
 def block_shares(rows: DataFrame, plan: DataFrame, block: int = BLOCK, seed: str = "mix", slots: bool = False) -> DataFrame:
-    """Each document's share of each block it lies in: rows' columns, block, from and words in the document, times drawn (1 to MOST).
+    """Each document's share of each block it lies in: rows' columns, block, from and words in the document, times drawn (1 to MOST), first_shard.
 
     With slots, also places: (pass, slot) of each draw.
     """
     draws = block_draws(plan, seed)
     places = [F.array_sort(F.collect_list(F.struct("pass", "slot"))).alias("places")] if slots else []
-    drawn = draws.groupBy("rank", "block").agg(F.count("*").alias("times"), *places)
+    drawn = draws.groupBy("rank", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"), *places)
     shares = rows.where("size > 0").select("*", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
     shares = shares.select("*", F.expr(f"greatest(block * {block} - begin, 0L)").alias("from"), F.expr(f"least((block + 1) * {block} - begin, size)").alias("to"))
     # Draws unfold from a few plan rows, so their estimated size is far too small; they must not be broadcast.
@@ -126,14 +184,14 @@ def block_shares(rows: DataFrame, plan: DataFrame, block: int = BLOCK, seed: str
 
 
 def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken."""
+    """One row per row of docs: doc_id, size, source_size, target, taken, first_shard (the first output shard with some of it; null for none)."""
     scratch = Scratch(spark)
     rows, plan = placed(spark, docs, scratch, block)
-    key = ["doc_id", "size", "source_size", "target", "rank", "begin"]
-    taken = block_shares(rows, plan, block, seed).groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
-    words = rows.where("size > 0").join(taken.select("rank", "begin", "taken").hint("merge"), ["rank", "begin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return words.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    taken = block_shares(rows, plan, block, seed).groupBy("rank", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("first_shard").alias("first_shard"))
+    out = ["doc_id", "size", "source_size", "target"]
+    words = rows.where("size > 0").join(taken.hint("merge"), ["rank", "begin"], "left").select(*out, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+    none = rows.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+    return words.unionByName(none)
 
 
 def sharded_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
@@ -162,7 +220,7 @@ def sharded_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK,
     # The row travels as one struct, so columns of any name keep their values.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     original = Window.partitionBy("_id", "_tag").orderBy(F.lit(0))
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("_text"))
+    tagged = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("_text"))
     many = scratch.table(tagged.groupBy("_id", "_tag").agg(F.count("*").alias("rows")).where("rows > 1").select("_id", "_tag"), "many")
     once = tagged.join(many, ["_id", "_tag"], "left_anti").withColumn("_nth", F.lit(1))
     again = tagged.join(many, ["_id", "_tag"], "left_semi").withColumn("_nth", F.row_number().over(original))
@@ -174,7 +232,7 @@ def sharded_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK,
     columns = {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    row = F.struct(*(columns.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
+    row = F.struct(*(columns.get(c, quoted(c, "_row").alias(c)) for c in docs.columns))
     return each.select(F.expr(f"slot div {SHARD}").alias("shard"), "slot", row.alias("row"))
 
 
@@ -204,18 +262,32 @@ WITH RECURSIVE sized AS (
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach FROM weighed
 ), aimed AS (
   SELECT source, rank, source_size, least(cap::DOUBLE, max(reach) OVER () * weight) AS target, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM reached
+), counted AS (
+  SELECT *, coalesce(least({MOST} * blocks, floor(target * blocks / nullif(source_size, 0) + 0.5)::BIGINT), 0)::BIGINT AS draws FROM aimed
 ), plan AS (
-  SELECT *, coalesce(least({MOST} * blocks, floor(target * blocks / nullif(source_size, 0) + 0.5)::BIGINT), 0) AS draws FROM aimed
-), draws AS (
-  SELECT rank, blocks, n // blocks AS pass, n % blocks AS draw FROM (SELECT rank, blocks, unnest(range(draws)) AS n FROM plan WHERE draws > 0)
+  SELECT *, (sum(draws) OVER (ORDER BY rank) - draws)::BIGINT AS first_draw, (sum(draws) OVER ())::BIGINT AS all_draws FROM counted
+), slots AS (
+  SELECT slot, slot // {SHARD} AS shard, {_H.format("concat('mix/slot/', slot)")} % all_draws AS chance FROM (SELECT all_draws, unnest(range(all_draws)) AS slot FROM (SELECT DISTINCT all_draws FROM plan))
+), chosen AS (
+  SELECT slot, shard, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS ordinal FROM slots JOIN plan ON chance >= first_draw AND chance < first_draw + draws
+), against AS (
+  SELECT rank, draws, blocks, coalesce(n, 0) AS drawn, greatest(0, coalesce(n, 0) - draws) AS surplus, greatest(0, draws - coalesce(n, 0)) AS short
+  FROM plan LEFT JOIN (SELECT rank, count(*) AS n FROM chosen GROUP BY rank) USING (rank)
+), balance AS (
+  SELECT *, sum(surplus) OVER (ORDER BY rank) - surplus AS first_surplus, sum(short) OVER (ORDER BY rank) - short AS first_short FROM against
+), spare AS (
+  SELECT slot, shard, first_surplus + ordinal - draws AS number FROM chosen JOIN balance USING (rank) WHERE ordinal >= draws
+), settled AS (
+  SELECT slot, shard, rank, ordinal::BIGINT AS ordinal FROM chosen JOIN balance USING (rank) WHERE ordinal < draws
+  UNION ALL SELECT slot, shard, rank, (drawn + number - first_short)::BIGINT FROM spare JOIN balance ON number >= first_short AND number < first_short + short
 ), walk AS (
-  SELECT rank, blocks, pass, draw AS x, 0 AS r FROM draws
+  SELECT rank, shard, blocks, ordinal // blocks AS pass, ordinal % blocks AS x, 0 AS r FROM settled JOIN plan USING (rank)
   UNION ALL
-  SELECT rank, blocks, pass, CASE WHEN md5(concat('mix/', rank, '/', pass, '/', r, '/', greatest(x, other))) < '8' THEN other ELSE x END, r
-  FROM (SELECT rank, blocks, pass, x, r + 1 AS r,
+  SELECT rank, shard, blocks, pass, CASE WHEN md5(concat('mix/', rank, '/', pass, '/', r, '/', greatest(x, other))) < '8' THEN other ELSE x END, r
+  FROM (SELECT rank, shard, blocks, pass, x, r + 1 AS r,
     (({_H.format("concat('mix/', rank, '/', pass, '/', r + 1)")} % blocks - x) % blocks + blocks) % blocks AS other FROM walk WHERE r < {ROUNDS})
 ), drawn AS (
-  SELECT rank, x AS block, count(*) AS times FROM walk WHERE r = {ROUNDS} GROUP BY rank, x
+  SELECT rank, x AS block, count(*) AS times, min(shard) AS first_shard FROM walk WHERE r = {ROUNDS} GROUP BY rank, x
 ), buckets AS (
   SELECT greatest(1, ceil(count(*) / {BUCKET_ROWS}))::BIGINT AS buckets FROM sized
 ), placed AS (
@@ -225,9 +297,9 @@ WITH RECURSIVE sized AS (
 ), shares AS (
   SELECT *, unnest(range((begin // {BLOCK})::BIGINT, ((begin + size - 1) // {BLOCK} + 1)::BIGINT)) AS block FROM placed WHERE size > 0
 ), taken AS (
-  SELECT s.rank, s.begin, sum((least((s.block + 1) * {BLOCK} - s.begin, s.size) - greatest(s.block * {BLOCK} - s.begin, 0)) * d.times) AS taken
+  SELECT s.rank, s.begin, sum((least((s.block + 1) * {BLOCK} - s.begin, s.size) - greatest(s.block * {BLOCK} - s.begin, 0)) * d.times) AS taken, min(first_shard) AS first_shard
   FROM shares s JOIN drawn d ON s.rank = d.rank AND s.block = d.block GROUP BY s.rank, s.begin
 )
-SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END::BIGINT AS taken
+SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END::BIGINT AS taken, CASE WHEN p.size > 0 THEN t.first_shard END::BIGINT AS first_shard
 FROM placed p LEFT JOIN taken t ON p.rank = t.rank AND p.begin = t.begin
 """

@@ -55,3 +55,33 @@ def test_documents_come_in_mixed_order(spark):
     assert sum(map(len, once)) > 100 and all(p == sorted(p) for p in once)
     where = [{s // mixing.SHARD for s in p} for p in once]
     assert all(not (a & b) for i, a in enumerate(where) for b in where[:i])
+
+
+def test_shard_counts_are_drawn_and_settle_what_is_taken(spark):
+    """Counts per shard vary as a multinomial draw does; the slots' ordinals follow from them; totals are the targets."""
+    docs = source(spark)
+    _, plan = mixing.placed(spark, docs, Scratch(spark), BLOCK)
+    sources = {p["rank"]: p for p in plan.collect()}
+    total = sum(p.draws for p in sources.values())
+    counts = {(r.shard, r["rank"]): r.slots for r in mixing.shard_counts(plan, Scratch(spark)).collect()}
+    assert sum(map(len, counts.values())) == total
+    whole = total // mixing.SHARD
+    spread = [(len(counts.get((k, r), ())) - mixing.SHARD * p.draws / total) / (mixing.SHARD * p.draws / total * (1 - p.draws / total)) ** 0.5 for k in range(whole) for r, p in sources.items()]
+    assert len(spread) >= 6 and any(spread) and max(map(abs, spread)) < 5
+    draws = mixing.slot_draws(plan).collect()
+    for r, p in sources.items():
+        assert sorted(d.ordinal for d in draws if d["rank"] == r) == list(range(p.draws))
+        # Own draws, in slot order, come before those that other sources had too many of.
+        mine = sorted(s for (_, rank), slots in counts.items() if rank == r for s in slots)
+        assert [d.ordinal for d in sorted(draws, key=lambda d: d.slot) if d["rank"] == r and d.slot in set(mine)] == list(range(min(p.draws, len(mine))))
+    assert sorted(d.slot for d in draws) == list(range(total))
+
+
+def test_first_shard(spark):
+    docs = source(spark)
+    rows, plan = mixing.placed(spark, docs, Scratch(spark), BLOCK)
+    shard = {}
+    for d in mixing.block_draws(plan).collect():
+        shard[d["rank"], d.block] = min(d.shard, shard.get((d["rank"], d.block), d.shard))
+    expected = {r.doc_id: min((shard[r["rank"], b] for b in range(r.begin // BLOCK, (r.begin + r.size - 1) // BLOCK + 1) if (r["rank"], b) in shard), default=None) for r in rows.collect()}
+    assert {r.doc_id: r.first_shard for r in mixing.mix(spark, docs, BLOCK).collect()} == expected
