@@ -12,7 +12,9 @@ A pair of blocks returns one row per linked vector (a count and a link to the
 smallest of its component inside the pair), never the pairs, so groups of near
 copies cost rows in proportion to their size. With vectors that lie all about
 equally far apart no metric tree can prune much; then the cost is one matrix
-product per pair of blocks.
+product per pair of blocks, quadratic in distinct vectors, and every block goes to
+every other once. Vectors are scaled by a power of two of their own, which leaves
+every cosine as it is, so that no norm overflows or vanishes.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; so do vectors of different lengths; equal vectors
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Forest, Scratch, components, table
 
-COSINE, BLOCK, MOST_PIVOTS = 0.95, 4096, 1024
+COSINE, BLOCK, MOST_PIVOTS = 0.95, 8192, 1024
+#: Blocks whose balls meet in one tile of the join of balls, and candidates that are looked through together.
+TILE, _CANDIDATES = 512, 256
 _RADII = [2.0 ** -k for k in range(0, 6)]
 #: Allowances for rounding: of radii, and of dot products in single precision.
 _SLACK, _SINGLE, _EXPANDED = 1e-6, 1e-5, 1 << 19
@@ -55,30 +59,52 @@ class CoverTree:
     def build(x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """(order of the vectors, levels)."""
         single = x.astype(np.float32)
-        near = single @ single.T
         order, borders = np.arange(len(x)), [np.array([0, len(x)])]
         for radius in _RADII:
-            least = 1 - radius * radius / 2
-            runs, begins = [], [0]
-            for a, z in zip(borders[-1][:-1].tolist(), borders[-1][1:].tolist(), strict=True):
-                left = order[a:z]
-                while len(left):  # the first one left becomes a centre and takes all within its radius
-                    inside = near[left[0], left] >= least
-                    inside[0] = True
-                    runs.append(left[inside])
-                    begins.append(begins[-1] + len(runs[-1]))
-                    left = left[~inside]
+            least, runs = 1 - radius * radius / 2, []
+            sizes = np.diff(borders[-1])
+            for a, n in zip(borders[-1][:-1].tolist(), sizes.tolist(), strict=True):
+                run = order[a : a + n]
+                runs += [run] if n == 1 else CoverTree._covered(single, run, least)
             order = np.concatenate(runs)
-            borders.append(np.array(begins))
+            borders.append(np.concatenate(([0], np.cumsum([len(r) for r in runs]))))
         borders.append(np.arange(len(x) + 1))
         levels, x = [], x[order]
         for k, border in enumerate(borders):
             centre = border[:-1]
             apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[np.repeat(centre, np.diff(border))])))
-            child = np.searchsorted(borders[k + 1], border) if k + 1 < len(borders) else None
-            levels.append((centre, np.maximum.reduceat(apart, centre) + _SLACK, child))
+            child = np.searchsorted(borders[k + 1], border).astype(np.int32) if k + 1 < len(borders) else None
+            levels.append((centre.astype(np.int32), (np.maximum.reduceat(apart, centre) + _SLACK).astype(np.float32), child))
         return order, levels
 
+    @staticmethod
+    def _covered(x: np.ndarray, left: np.ndarray, least: float) -> list[np.ndarray]:
+        """Runs of the vectors `left`: a centre, then what no earlier centre covers but it does. Centres lie apart from one another.
+
+        Distances are taken to centres only, those of a few candidates at a time.
+        """
+        runs = []
+        while len(left):
+            some = left[:_CANDIDATES]
+            near = x[some] @ x[some].T >= least
+            free, centres = np.ones(len(some), bool), []
+            for k in range(len(some)):
+                if free[k]:
+                    centres.append(k)
+                    free &= ~near[k]
+                    free[k] = False
+            inside = x[left] @ x[some[centres]].T >= least
+            inside[centres, np.arange(len(centres))] = True  # whatever rounding says
+            first = np.where(inside.any(1), inside.argmax(1), -1)
+            first[centres] = np.arange(len(centres))
+            by = np.argsort(first, kind="stable")
+            ends = np.searchsorted(first[by], np.arange(-1, len(centres)), "right")
+            for k, centre in enumerate(some[centres].tolist()):
+                run = left[by[ends[k] : ends[k + 1]]]
+                runs.append(np.concatenate(([centre], run[run != centre])))
+            left = left[first < 0]
+        return runs
+
 
 def near_pairs(a: CoverTree, b: CoverTree, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions whose vectors reach the cosine to single precision, or nearly, in pieces of bounded size."""
@@ -169,22 +195,30 @@ def _blocks(keyed: DataFrame, spark: SparkSession, scratch: Scratch, block: int)
     total = keyed.count()
     pivots = min(MOST_PIVOTS, math.ceil(total / block))
     # A bounded sample, by hashed key, only chooses the pivots; every vector is dealt to its nearest.
-    sample = keyed.orderBy(F.xxhash64("key"), "key").limit(pivots).select("v").collect()
+    sample = keyed.orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()
     centres = [np.frombuffer(r.v, np.float64) for r in sample]
     centres = [c / np.linalg.norm(c) for c in centres]
 
+    of_length: dict[int, list[int]] = {}
+    for k, c in enumerate(centres):
+        of_length.setdefault(len(c), []).append(k)
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stacked = {n: (np.array(ks, np.int32), np.stack([centres[k] for k in ks])) for n, ks in of_length.items()}
         for batch in batches:
-            cells = []
-            for v in batch.column("v").to_pylist():
-                x = np.frombuffer(v, np.float64)
-                cells.append(max(range(len(centres)), key=lambda k: float(centres[k] @ x) if len(centres[k]) == len(x) else -np.inf))  # noqa: B023
+            sizes, raw = batch.column("size").to_numpy(), batch.column("v").to_pylist()
+            cells = np.zeros(len(raw), np.int32)
+            for n in np.unique(sizes).tolist():
+                if n in stacked:  # vectors of a length that no pivot has share a cell, told apart by their length
+                    at = np.flatnonzero(sizes == n)
+                    x = np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.float64).reshape(-1, n)
+                    cells[at] = stacked[n][0][(x @ stacked[n][1].T).argmax(1)]
             yield pa.record_batch([*batch.columns, pa.array(cells, pa.int32())], names=[*batch.schema.names, "cell"])
 
     celled = scratch.table(keyed.mapInArrow(nearest, "key long, weight long, size int, v binary, cell int"), "celled")
     # A cell of more than a block is cut by hash; so blocks are bounded whatever a cell holds.
     held = celled.groupBy("cell", "size").agg(F.count("*").alias("held")).withColumn("cuts", F.ceil(F.col("held") / block))
-    cut = celled.join(F.broadcast(held), ["cell", "size"]).withColumn("part", F.expr("pmod(xxhash64(key), cuts)"))
+    cut = celled.join(F.broadcast(held), ["cell", "size"]).withColumn("part", F.expr("pmod(xxhash64(v), cuts)"))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(v, np.float64) for v in group["v"]])
@@ -212,13 +246,19 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     rows = rows.select("vec_id", good.alias("good"), F.when(good, F.col("v")).alias("v"))
     # Rows of one vector share a key; -0.0 and 0.0 are told apart, which only costs a comparison.
     rows = scratch.table(rows.select("vec_id", "good", "v", F.struct(F.xxhash64("v"), F.hash("v")).alias("hashed")), "rows")
-    classes = rows.where("good").groupBy("hashed", "v").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("weight")).withColumn("key", F.xxhash64("v"))
-    classes = scratch.table(classes, "classes")
+    classes = rows.where("good").groupBy("hashed", "v").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("weight"))
+    # The table is written once, so these numbers stay; unlike a hash they never meet.
+    classes = scratch.table(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
 
     def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v")
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            lengths = lists.value_lengths().to_numpy()
+            at = np.concatenate(([0], np.cumsum(lengths)))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(lengths):  # a power of two brings each vector's largest component to [0.5, 1)
+                _, power = np.frexp(np.maximum.reduceat(np.abs(flat), at[:-1]))
+                flat = np.ldexp(flat, -np.repeat(power, lengths))
             yield pa.record_batch([batch.column("key"), batch.column("weight"), lists.value_lengths(), pa.array([flat[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "weight", "size", "v"])
 
     keyed = scratch.table(classes.select("key", "weight", "v").mapInArrow(doubles, "key long, weight long, size int, v binary"), "keyed")
@@ -226,9 +266,14 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     reach = math.sqrt(2 - 2 * cosine) + 4 * _SLACK
     balls = blocks.select("block", "size", "centre", "radius")
     # Bounding balls only: one row per block, and only pairs whose balls come within the threshold go on.
-    left, right = balls.toDF("a", "size", "centre_a", "radius_a"), balls.toDF("b", "size", "centre_b", "radius_b")
+    # Blocks are dealt to strips; two strips meet in a tile of at most about TILE * TILE pairs.
+    strips = max(1, math.ceil(balls.count() / TILE))
+    strip = F.expr(f"pmod(xxhash64(block), {strips})")
+    every = F.explode(F.expr(f"sequence(0, {strips - 1})"))
+    left = balls.select(strip.alias("row"), every.alias("column"), "size", F.col("block").alias("a"), F.col("centre").alias("centre_a"), F.col("radius").alias("radius_a"))
+    right = balls.select(strip.alias("column"), every.alias("row"), "size", F.col("block").alias("b"), F.col("centre").alias("centre_b"), F.col("radius").alias("radius_b"))
     apart = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
-    pairs = left.join(right, "size").where(F.col("a") <= F.col("b")).where(apart <= F.col("radius_a") + F.col("radius_b") + reach).select("a", "b")
+    pairs = left.join(right, ["row", "column", "size"]).where(F.col("a") <= F.col("b")).where(apart <= F.col("radius_a") + F.col("radius_b") + reach).select("a", "b")
     sides = pairs.select("a", "b", F.explode(F.expr("CASE WHEN a = b THEN array(named_struct('side', 0, 'block', a)) ELSE array(named_struct('side', 0, 'block', a), named_struct('side', 1, 'block', b)) END")).alias("s"))
     work = scratch.table(sides.select("a", "b", "s.side", "s.block"), "work").join(blocks.select("block", "ids", "weights", "single", "vectors", "levels"), "block")
     found = work.groupBy("a", "b").applyInPandas(lambda pair: _linked(pair, cosine), "key long, links long, near long")
