@@ -8,10 +8,14 @@ is one less the ratio of the cheapest to the next.
 
 Letters are lower-cased, everything between letters is one space. Documents are
 parsed in stretches of BLOCK characters, all stretches and all languages of a
-slice in lock-step through one dense transition table, so a step is a numpy
-gather and not a Python loop per character. The automata come from a bounded
-sample: per language the FIT_DOCS documents of at most FIT_CHARS characters whose
-hashed ids are smallest.
+slice in lock-step through one transition table, so a step is a numpy gather and
+not a Python loop per character. The table is dense while it stays under
+DENSE_BYTES, else hashed, at about 50 bytes a transition whatever the alphabet.
+
+The automata come from a bounded sample: per language FIT_DOCS documents that hold
+a letter, those of at most FIT_CHARS characters first, by hashed id, then the
+shortest others, of which FIT_CHARS characters are learnt. With very many
+languages both bounds shrink, so that FIT_TOTAL characters are learnt in all.
 
 Defined cases: `und` with score 0 for null text, text without a letter, or where
 no language can be learnt; equal costs go to the language first by code point;
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, sliced, table
+from tessera.llm.common import Scratch, held_out, sliced, table
 from tessera.llm.textblocks import utf8
 
 FIT_DOCS, FIT_CHARS, BLOCK = 24, 3000, 2048
+#: Characters learnt in all, and bytes of the dense table beyond which transitions are hashed.
+FIT_TOTAL, DENSE_BYTES = 8_000_000, 128 << 20
 UNKNOWN, SPACE, DOCUMENT_END = 0, 1, 2
 UND = "und"
 
@@ -75,28 +81,72 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
+class Transitions:
+    """Next state by (state, symbol), -1 for none: a dense table, or one of open addressing where that would be too big."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, rows: int, width: int, dense_bytes: int = DENSE_BYTES):
+        self.width, self.keys = width, None
+        key = states.astype(np.int64) * width + symbols
+        if 4 * rows * width <= dense_bytes:
+            self.to = np.full(rows * width, -1, np.int32)
+            self.to[key] = to
+            return
+        self.bits = max(4, int(4 * len(key)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):  # of those that want a free slot the first takes it; the others move on
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.keys[slot[taken]], self.to[slot[taken]] = key[taken], to[taken]
+            left = np.setdiff1d(left, taken, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + symbol
+        if self.keys is None:
+            return self.to[key]
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.to[slot], -1)
+        i, j = np.nonzero((held != key) & (held >= 0))
+        while len(i):
+            slot[i, j] = (slot[i, j] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[i, j]]
+            hit = held == key[i, j]
+            out[i[hit], j[hit]] = self.to[slot[i[hit], j[hit]]]
+            on = ~hit & (held >= 0)
+            i, j = i[on], j[on]
+        return out
+
+
 class CrossParser:
-    """Automata of several languages in one dense table; state 0 of each is its root."""
+    """Automata of several languages in one table; the first state of each is its root."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], dense_bytes: int = DENSE_BYTES):
         self.languages = sorted(texts, key=str.encode)
         self.alphabet = "".join(sorted({c for parts in texts.values() for t in parts for c in t.lower() if c.isalpha()}))
         self.width = len(self.alphabet) + 3
-        table_of, tables, roots, cost = symbols(self.alphabet), [], [], []
+        table_of, roots, cost = symbols(self.alphabet), [], []
+        self.root_moves = np.full((len(self.languages), self.width), -1, np.int32)
+        moved: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32),) * 3]
         base = 0
-        for language in self.languages:
+        for k, language in enumerate(self.languages):
             joined = np.concatenate([np.append(_squeezed(table_of[np.array([ord(c) for c in t], np.int64)]), DOCUMENT_END) for t in texts[language]])
             joined = joined[joined != UNKNOWN]
             moves = suffix_automaton(joined)
-            dense = np.full((len(moves), self.width), -1, np.int32)
-            for state, out in enumerate(moves):
-                for symbol, to in out.items():
-                    dense[state, symbol] = base + to
-            tables.append(dense)
+            n = np.array([len(m) for m in moves])
+            by = np.fromiter((s for m in moves for s in m), np.int32, n.sum())
+            to = np.fromiter((t for m in moves for t in m.values()), np.int32, n.sum()) + base
+            moved.append((np.repeat(np.arange(len(moves), dtype=np.int32) + base, n), by, to))
+            self.root_moves[k, by[: n[0]]] = to[: n[0]]
             roots.append(base)
             cost.append(np.log2(max(2, len(joined))))
             base += len(moves)
-        self.moves = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.moves = Transitions(*(np.concatenate(c) for c in zip(*moved, strict=True)), base, self.width, dense_bytes)
         self.roots, self.cost = np.array(roots, np.int32), np.array(cost)
 
     def phrases(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -114,11 +164,11 @@ class CrossParser:
         count = np.zeros((len(begin), k), np.int32)
         live = np.searchsorted(-size, -np.arange(size[0]) if len(size) else [], "left")
         for step, n in enumerate(live.tolist()):
-            symbol = text[begin[:n] + step].astype(np.int64)[:, None]
-            to = self.moves[state[:n].astype(np.int64) * self.width + symbol]
+            symbol = text[begin[:n] + step].astype(np.int64)
+            to = self.moves.next(state[:n], symbol[:, None])
             stuck = to < 0
             if stuck.any():
-                again = self.moves[self.roots.astype(np.int64)[None, :] * self.width + symbol]
+                again = self.root_moves[:, symbol].T
                 # A phrase ends here, unless none was open; a symbol no root knows is a phrase of its own.
                 count[:n] += stuck & (state[:n] != self.roots)
                 count[:n] += stuck & (again < 0)
@@ -159,15 +209,21 @@ def predict(parser: CrossParser, table_of: np.ndarray, column: pa.Array) -> tupl
     return [parser.languages[b] if s else UND for b, s in zip(best.tolist(), spelled.tolist(), strict=True)], np.where(spelled, np.clip(score, 0, 1), 0.0)
 
 
-def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> CrossParser:
-    """The automata, from at most fit_docs documents of at most fit_chars characters per language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    short = known.where(F.length("text").between(1, fit_chars)).select("doc_id", "lang")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = short.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= fit_docs).select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.length("text") <= fit_chars).select("lang", "text").collect()
+def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, fit_total: int = FIT_TOTAL) -> CrossParser:
+    """The automata, from at most fit_docs documents of at most fit_chars characters per language, fit_total in all."""
+    text = F.col("text").cast("string")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).where(F.rlike(text, F.lit("\\p{L}")))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    rank = Window.partitionBy("lang").orderBy("beyond", F.xxhash64("doc_id"), "doc_id", "tag")
+    sized = known.select("doc_id", "lang", "tag", F.greatest(F.length("text"), F.lit(fit_chars)).alias("beyond"))
+    ranked = sized.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= fit_docs).groupBy("doc_id", "lang", "tag").agg(F.min("rank").alias("rank"))
+    chosen = Scratch(docs.sparkSession).table(ranked, "chosen")
+    languages = max(1, chosen.select("lang").distinct().count())
+    chars = max(1, min(fit_chars, fit_total // languages))
+    most = max(1, min(fit_docs, fit_total // (languages * chars)))
+    mine = known.join(F.broadcast(chosen.where(F.col("rank") <= most).drop("rank")), ["doc_id", "lang", "tag"]).groupBy("doc_id", "lang", "tag").agg(F.first(F.substring("text", 1, chars)).alias("text"))
     texts: dict[str, list[str]] = {}
-    for lang, text in sorted({(r.lang, r.text) for r in rows}):
+    for lang, text in sorted({(r.lang, r.text) for r in mine.select("lang", "text").collect()}):
         if any(c.isalpha() for c in text):
             texts.setdefault(lang, []).append(text)
     return CrossParser(texts)
