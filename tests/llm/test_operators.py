@@ -264,7 +264,7 @@ def test_windows_keep_their_proportions():
     layout = packing.Layout([6000, 3000, 1000], capacity=100, window=5)
     for w in range(layout.all // layout.width):
         for q, total in enumerate(layout.totals):
-            sent = layout.sent(q, w + 1) - layout.sent(q, w)
+            sent = layout.sent(0, q, w + 1) - layout.sent(0, q, w)
             assert abs(sent - layout.width * total / layout.all) <= 1
 
 
