@@ -7,9 +7,12 @@ function for texts with ligatures and other characters that decompose into sever
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +80,22 @@ def tokens(c: Column | str, stemmed: bool = True, keep_stopwords: bool = False)
     """Words of the normalised text in order, repeats kept; one-character words and stopwords go before stemming."""
     out = F.filter(raw_tokens(c), lambda t: F.length(t) > 1)
     if not keep_stopwords:
-        stop = _set(L.STOPWORDS)
-        out = F.filter(out, lambda t: ~F.array_contains(stop, t))
+        out = F.filter(out, lambda t: ~t.isin(*L.STOPWORDS))
     return F.transform(out, stem) if stemmed else out
 
 
+def exploded_tokens(df: DataFrame, c: Column | str, keys: list[str], out: str = "term", stemmed: bool = True) -> DataFrame:
+    """keys and one row per word of `tokens`: stopwords, lengths and stems are plain columns here, not lambdas."""
+    words = df.select(*keys, F.explode(raw_tokens(c)).alias(out)).where((F.length(out) > 1) & ~F.col(out).isin(*L.STOPWORDS))
+    return words.withColumn(out, stem(F.col(out))) if stemmed else words
+
+
+def distinct_tokens(c: Column | str) -> Column:
+    """(plain, stems): the different words of `tokens`, before and after stemming, from one reading of the text."""
+    words = F.filter(F.array_distinct(raw_tokens(c)), lambda t: (F.length(t) > 1) & ~t.isin(*L.STOPWORDS))
+    return bound(words, lambda w: F.struct(w.alias("plain"), F.array_distinct(F.transform(w, stem)).alias("stems")))
+
+
 def sentences(c: Column | str) -> Column:
     """Cut after . ! ? and before a capital or bracket; trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(_col(c), L.SENTENCE_BREAK), lambda s: F.regexp_replace(s, "(?U)^\\s+|\\s+$", "")), lambda s: s != "")
@@ -91,34 +105,55 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit("(?U)\\S+"))
 
 
+#: White space as (?U)\\s has it, and as \\s has it in the sentence break.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BREAK = re.compile(L.SENTENCE_BREAK.replace("\\s", "[\t-\r ]"))
+_EDGES, _WORDS = re.compile(f"^[{_SPACE}]+|[{_SPACE}]+$"), re.compile(f"[^{_SPACE}]+")
+_PASSAGE = "array<struct<ordinal:int,text:string,char_start:int,char_end:int,sentences:int,words:int>>"
+
+
+def packed_passages(text: str, target: int = 70, overlap: int = 1) -> list[tuple[int, str, int, int, int, int]]:
+    """(ordinal, text, char_start, char_end, sentences, words) of one text's passages, in one run over it."""
+    found, at = [], 0
+    for part in _BREAK.split(text):
+        sentence = _EDGES.sub("", part)
+        if sentence:
+            begin = max(text.find(sentence, at), 0)
+            at = begin + len(sentence)
+            found.append((sentence, begin, at, len(_WORDS.findall(sentence))))
+    done, held, size = [], [], 0
+    for x in found:
+        if size > 0 and size + x[3] > target:
+            done.append(held)
+            held = held[-overlap:] if overlap else []
+            size = sum(y[3] for y in held)
+        held.append(x)
+        size += x[3]
+    if held and not (done and len(held) <= overlap):
+        done.append(held)
+    return [(k, " ".join(y[0] for y in p), p[0][1], p[-1][2], len(p), sum(y[3] for y in p)) for k, p in enumerate(done)]
+
+
 def passages(c: str, target: int = 70, overlap: int = 1) -> Column:
-    """Array of (ordinal, text, char_start, char_end): sentences packed up to `target` words.
+    """Array of (ordinal, text, char_start, char_end, sentences, words): sentences packed up to `target` words.
 
     A new passage begins with the last `overlap` sentences of the one before. A
     passage that would only repeat that overlap is not made; one that holds more is.
+    Packing needs the sentence before, so it is an Arrow function, linear in the
+    text; nested aggregates copy what they have gathered at every sentence.
     """
-    spans = (
-        f"aggregate(transform(filter(transform(split({c}, r'{L.SENTENCE_BREAK}'), s -> regexp_replace(s, r'(?U)^\\s+|\\s+$', '')), s -> s <> ''), s -> named_struct('t', s, 'a', 0)), "
-        "named_struct('at', 0, 'out', cast(array() AS array<struct<t:string,a:int,z:int,n:int>>)), "
-        f"(s, x) -> named_struct('at', greatest(locate(x.t, {c}, s.at + 1) - 1, 0) + length(x.t), 'out', concat(s.out, array(named_struct('t', x.t, 'a', greatest(locate(x.t, {c}, s.at + 1) - 1, 0), "
-        f"'z', greatest(locate(x.t, {c}, s.at + 1) - 1, 0) + length(x.t), 'n', regexp_count(x.t, r'(?U)\\S+'))))), s -> s.out)"
-    )
-    kept = "array<struct<t:string,a:int,z:int,n:int>>"
-    tail = f"slice(s.buf, greatest(size(s.buf) - {overlap} + 1, 1), {overlap})" if overlap else f"cast(array() AS {kept})"
-    packed = (
-        f"aggregate({spans}, named_struct('done', cast(array() AS array<{kept}>), 'buf', cast(array() AS {kept}), 'size', 0), "
-        f"(s, x) -> CASE WHEN s.size > 0 AND s.size + x.n > {target} "
-        f"THEN named_struct('done', concat(s.done, array(s.buf)), 'buf', concat({tail}, array(x)), 'size', aggregate({tail}, 0, (k, y) -> k + y.n) + x.n) "
-        "ELSE named_struct('done', s.done, 'buf', concat(s.buf, array(x)), 'size', s.size + x.n) END, "
-        f"s -> CASE WHEN size(s.buf) = 0 OR (size(s.done) > 0 AND size(s.buf) <= {overlap}) THEN s.done ELSE concat(s.done, array(s.buf)) END)"
-    )
-    return F.expr(f"transform({packed}, (b, i) -> named_struct('ordinal', i, 'text', array_join(transform(b, y -> y.t), ' '), 'char_start', b[0].a, 'char_end', element_at(b, -1).z))")
-
-
-def number(t: Column) -> Column:
-    """A number word or plain digits as double, else null. ('3d' is no number.)"""
-    words = F.create_map(*(F.lit(x) for k, v in L.NUMBER_WORDS.items() for x in (k, float(v))))
-    return F.coalesce(F.try_element_at(words, t), F.when(F.rlike(t, F.lit("^[0-9]+$")), t.cast("double")))
+    names = ("ordinal", "text", "char_start", "char_end", "sentences", "words")
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+
+    @F.arrow_udf(_PASSAGE)
+    def run(column: pa.Array) -> pa.Array:
+        each = [None if t is None else packed_passages(t, target, overlap) for t in column.to_pylist()]
+        flat = [p for found in each if found for p in found]
+        struct = pa.StructArray.from_arrays([pa.array([p[k] for p in flat], kind) for k, kind in enumerate(kinds)], list(names))
+        ends = list(accumulate((len(found or ()) for found in each), initial=0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct, mask=pa.array([found is None for found in each]))
+
+    return run(F.col(c))
 
 
 def with_measurements(df: DataFrame, column: str, out: str = "measurements", legacy_numbers: bool = False, window: int = 6, prefix: int = 3) -> DataFrame:

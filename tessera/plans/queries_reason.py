@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
-from tessera.functions.text import tokens
+from tessera.functions.text import distinct_tokens, tokens
 from tessera.operators import coordination as C
 from tessera.operators import evidence as E
 from tessera.operators import knowledge as K
@@ -14,6 +14,7 @@ from tessera.operators import learning as N
 from tessera.operators import monitoring as M
 from tessera.operators import understanding as U
 from tessera.plans.registry import AS_OF, DOCS, content, documents, norm, query, read, tok
+from tessera.sources.shared import spread
 
 _CUES = ", ".join("('{}', '{}', {})".format(d, c.replace("'", "''"), w) for d, cues in L.DOMAIN_CUES.items() for c, w in cues.items())
 QUESTIONS = (
@@ -141,7 +142,7 @@ _MARKS = ["[" + ", ".join(f"'{w}'" for w in ws) + "]" for ws in (L.OBLIGATION_MA
 def claim_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     n = b.agg(F.count("*").alias("n"))
-    d = read(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), F.array_distinct(tokens("text")).alias("w"), F.array_distinct(tokens("text", stemmed=False)).alias("r"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), distinct_tokens("text").alias("t")).select("doc_id", "item_id", F.col("t.stems").alias("w"), F.col("t.plain").alias("r"))
     q = b.select("item_id", F.array_distinct(tokens("text")).alias("q"))
     return d.join(q, "item_id").select("doc_id", E.salience(F.col("w"), F.col("r"), F.col("q"), F.array().cast("array<string>"), F.lit("requirement"), F.lit(False)).alias("salience"))
 
@@ -259,6 +260,71 @@ def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted_conflicts(spark).select("kind", "margin")
 
 
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_PAIRS = f"""st AS (SELECT l_orderkey AS trace_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS seq, l_quantity::INT AS days, l_returnflag = 'R' AS banned, round(l_discount, 2) AS confidence,
+  round(0.34 * [1.0, 0.85, 0.65, 0.4][l_linenumber % 4 + 1]::DOUBLE + 0.26 * [0.7, 0.85, 1.0][l_linenumber % 3 + 1]::DOUBLE + 0.22 * pow(0.5, greatest(0, date_diff('day', l_shipdate::DATE, DATE '{AS_OF}')) / 540.0) + 0.09, 4) AS score FROM lineitem),
+pairs AS (SELECT a.trace_id, a.seq AS a, b.seq AS b, a.score AS a_score, b.score AS b_score, least(a.confidence, b.confidence) AS strength, CASE WHEN abs(a.days - b.days) / greatest(a.days, b.days) > 0.05 THEN 'numeric' WHEN a.banned <> b.banned THEN 'polarity' END AS kind FROM st a JOIN st b ON a.trace_id = b.trace_id AND a.seq < b.seq)"""
+
+
+def statements(spark: SparkSession, sf_dir: str, documents: int | None = None) -> DataFrame:
+    """A claim per line item on how long logs are kept; with `documents`, so many documents hold an order's claims."""
+    from tessera.functions.text import polarity, with_measurements
+
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("l_linenumber") % n + 1).cast("int"))
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", ")))
+    rows = read(spark, sf_dir, "lineitem").withColumn("seq", seq).select(
+        F.col("l_orderkey").alias("trace_id"), "seq", F.col("seq").cast("string").alias("claim_id"), (F.col("seq") % documents if documents else F.col("seq")).alias("doc_id"), pick(L.DOMAINS, 3).alias("domain"), pick(tuple(L.AUTHORITY_WEIGHTS), 4).alias("authority"),
+        F.concat(F.when(F.col("l_returnflag") == "R", "You must not keep").otherwise("Keep"), F.lit(" shipping logs for "), F.col("l_quantity").cast("int").cast("string"), F.lit(" days.")).alias("claim"), F.col("l_shipdate").cast("date").alias("effective"), F.round("l_discount", 2).alias("confidence"),
+        F.lit(0.5).alias("relevance"), F.lit("1.0").alias("version"), F.lit("active").alias("status"), F.lit(None).cast("long").alias("supersedes"), F.lit("Logs").alias("title"), F.lit("").alias("section"),
+    )
+    return with_measurements(rows.withColumns({"tokens": F.array_distinct(tokens("claim")), "polarity": polarity("claim")}), "claim")
+
+
+def _disputes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = E.detect_conflicts(statements(spark, sf_dir), F.lit(AS_OF).cast("date"), None).where(F.col("kind") == kind)
+    return found.select("trace_id", F.col("winner_doc_id").cast("long").alias("winner"), F.col("loser_doc_id").cast("long").alias("loser"), "margin", "decisive")
+
+
+_DISPUTES = f"WITH {_PAIRS} SELECT trace_id, CASE WHEN a_score >= b_score THEN a ELSE b END AS winner, CASE WHEN a_score >= b_score THEN b ELSE a END AS loser, round(abs(a_score - b_score), 4) AS margin, round(abs(a_score - b_score), 4) >= 0.08 AS decisive FROM pairs WHERE kind = '@kind'"
+
+
+@query("numeric_conflicts", _DISPUTES.replace("@kind", "numeric"))
+def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _disputes(spark, sf_dir, "numeric")
+
+
+@query("polarity_conflicts", _DISPUTES.replace("@kind", "polarity"))
+def polarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _disputes(spark, sf_dir, "polarity")
+
+
+@query("dispute_dedup", f"WITH {_PAIRS} SELECT trace_id, kind, a::VARCHAR AS left_claim, b::VARCHAR AS right_claim, strength FROM pairs WHERE kind IS NOT NULL AND a % 2 <> b % 2 QUALIFY row_number() OVER (PARTITION BY trace_id, kind ORDER BY strength DESC, a, b) = 1")
+def dispute_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that stands for each dispute, where two documents hold all claims of an order."""
+    found = E.detect_conflicts(statements(spark, sf_dir, 2), F.lit(AS_OF).cast("date"), None)
+    first = lambda f: f(F.col("winner_claim_id").cast("int"), F.col("loser_claim_id").cast("int")).cast("string")
+    return found.select("trace_id", "kind", first(F.least).alias("left_claim"), first(F.greatest).alias("right_claim"), "strength")
+
+
+@query("measured_orders", "SELECT (o_orderkey % 50) || ' weeks' AS raw, 'duration' AS family, round((o_orderkey % 50) * 7.0, 6)::DOUBLE AS base, 'order,retain' AS anchors, count(*) AS n FROM orders GROUP BY ALL")
+def measured_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantity of a sentence per order, counted."""
+    from tessera.functions.text import with_measurements
+
+    rows = read(spark, sf_dir, "orders").select(F.concat(F.lit("Retain orders for "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" weeks.")).alias("s"))
+    m = with_measurements(rows, "s").select(F.explode("measurements").alias("m"))
+    return m.groupBy("m.raw", "m.family", F.round("m.base_value", 6).alias("base"), F.array_join("m.anchors", ",").alias("anchors")).agg(F.count("*").alias("n"))
+
+
+@query("agent_stats", f"WITH a AS (SELECT {'[' + ', '.join(repr(d) for d in L.DOMAINS) + ']'}[(user_id % 3 + 1)::INT] AS domain, event_id % 7 AS passages, event_id % 4 AS claims, value AS latency_ms, event_id % 5 = 0 AS abstained, event_id % 11 = 0 AS failed, (event_id % 100) / 100.0::DOUBLE AS top_relevance FROM events) SELECT domain, count(*) AS invocations, count(*) FILTER (WHERE abstained) AS abstentions, count(*) FILTER (WHERE failed) AS failures, round(avg(passages), 6) AS mean_passages, round(avg(claims), 6) AS mean_claims, round(avg(latency_ms), 4) AS mean_latency_ms, round(avg(top_relevance), 6) AS mean_top_relevance, round(avg((NOT abstained AND NOT failed)::INT), 6) AS contribution_rate FROM a GROUP BY domain")
+def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight measures of an agent, over events as records of agents."""
+    e = read(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, L.DOMAINS)), (F.col("user_id") % 3 + 1).cast("int")).alias("domain"), (F.col("event_id") % 7).alias("passages"), (F.col("event_id") % 4).alias("claims"), F.col("value").alias("latency_ms"),
+                                           (F.col("event_id") % 5 == 0).alias("abstained"), (F.col("event_id") % 11 == 0).alias("failed"), ((F.col("event_id") % 100) / 100).alias("top_relevance"))
+    out = M.agent_stats(e)
+    return out.select("domain", "invocations", "abstentions", "failures", *(F.round(c, 4 if c == "mean_latency_ms" else 6).alias(c) for c in out.columns[4:]))
+
+
 @query("engine_answers")
 def engine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine on the documents with derived metadata and every benchmark text as a question."""

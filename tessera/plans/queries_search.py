@@ -9,7 +9,7 @@ from tessera.functions import scoring as S
 from tessera.functions.text import tokens
 from tessera.operators import index as I
 from tessera.operators import retrieval as R
-from tessera.plans.registry import AS_OF, DOCS, documents, query, read, tok
+from tessera.plans.registry import AS_OF, DOCS, document_postings, documents, query, read, tok
 
 _BM25 = f"""{DOCS}, tf AS (SELECT domain, doc_id, term, count(*) AS tf FROM (SELECT domain, doc_id, unnest({tok('text')}) AS term FROM docs) GROUP BY ALL),
 len AS (SELECT domain, doc_id, len({tok('text')}) AS len FROM docs), sp AS (SELECT domain, count(*) AS n, avg(len) AS avg_len FROM len GROUP BY domain),
@@ -20,10 +20,10 @@ s AS (SELECT item_id, domain, doc_id, sum(qtf * greatest(0, ln(1 + (n - df + 0.5
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, domain, doc_id, lexical of every benchmark text against the documents of each domain."""
-    d, keys = documents(spark, sf_dir), ["domain", "doc_id"]
+    (d, post), keys = document_postings(spark, sf_dir), ["domain", "doc_id"]
     q = I.query_terms(read(spark, sf_dir, "benchmark"), ["item_id"])
     domains = F.explode(F.array(*map(F.lit, ("technical", "business", "compliance")))).alias("domain")
-    return I.bm25(q.select("*", domains), I.postings(d, keys), I.lengths(d, keys), keys, ["item_id"])
+    return I.bm25(q.select("*", domains), post, I.lengths(post, d, keys), keys, ["item_id"])
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT item_id, domain, doc_id, round(score, 5) AS score, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, domain ORDER BY round(score, 5) DESC, doc_id) AS rn FROM s) WHERE rn <= 10")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import index as I
 from tessera.operators import understanding as U
-from tessera.plans.registry import DOCS, content, documents, norm, query, raw, read, stem, tok
+from tessera.plans.registry import DOCS, content, document_postings, documents, norm, query, raw, read, stem, tok
+from tessera.sources.shared import spread
 
 _SENT = "list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s, E' \\t\\n\\r')), lambda s: s <> '')"
 
@@ -24,12 +25,12 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tok_term_freq", f"WITH {DOCS} SELECT domain, term, count(*) AS tf FROM (SELECT domain, unnest({tok('text')}) AS term FROM docs) GROUP BY domain, term")
 def tok_term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("domain", F.explode(T.tokens("text")).alias("term")).groupBy("domain", "term").agg(F.count("*").alias("tf"))
+    return T.exploded_tokens(spread(documents(spark, sf_dir)), "text", ["domain"]).groupBy("domain", "term").agg(F.count("*").alias("tf"))
 
 
 @query("stem_families", f"SELECT stem, count(*) AS words FROM (SELECT DISTINCT t, {stem('t')} AS stem FROM (SELECT unnest({content('text')}) AS t FROM documents)) GROUP BY stem HAVING count(*) > 1")
 def stem_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "documents").select(F.explode(T.tokens("text", stemmed=False)).alias("t")).distinct()
+    t = T.exploded_tokens(spread(read(spark, sf_dir, "documents")), "text", [], "t", stemmed=False).distinct()
     return t.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("words")).where("words > 1")
 
 
@@ -54,8 +55,8 @@ _CHUNK = f"""WITH RECURSIVE s AS (
 
 @query("chunk_pack", _CHUNK + "SELECT doc_id, ordinal::BIGINT AS ordinal, (last - first + 1)::BIGINT AS sentences, words::BIGINT AS words FROM packed")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = documents(spark, sf_dir).select("doc_id", F.explode(T.passages("text")).alias("p")).select("doc_id", F.col("p.ordinal").cast("long").alias("ordinal"), F.col("p.text").alias("t"))
-    return p.select("doc_id", "ordinal", F.size(T.sentences("t")).cast("long").alias("sentences"), T.word_count(F.col("t")).cast("long").alias("words"))
+    p = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.passages("text")).alias("p"))
+    return p.select("doc_id", *(F.col(f"p.{c}").cast("long").alias(c) for c in ("ordinal", "sentences", "words")))
 
 
 @query("chunk_offsets_valid", "SELECT count(*) FILTER (WHERE false) AS outside FROM documents")
@@ -65,6 +66,17 @@ def chunk_offsets_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count_if(flat(F.expr("substring(text, char_start + 1, char_end - char_start)")) != flat(F.col("passage"))).alias("outside"))
 
 
+@query("chunk_spans", _CHUNK.replace("WITH RECURSIVE s AS", "WITH RECURSIVE s AS MATERIALIZED") + """, place AS (
+  SELECT s.doc_id, s.i, strpos(d.text, s.t) - 1 AS a, strpos(d.text, s.t) - 1 + len(s.t) AS z FROM s JOIN documents d USING (doc_id) WHERE s.i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, p.z + strpos(d.text[p.z + 1:], s.t) - 1, p.z + strpos(d.text[p.z + 1:], s.t) - 1 + len(s.t) FROM place p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1 JOIN documents d ON d.doc_id = s.doc_id
+) SELECT k.doc_id, k.ordinal::INT AS ordinal, a.a::INT AS char_start, z.z::INT AS char_end FROM packed k JOIN place a ON a.doc_id = k.doc_id AND a.i = k.first JOIN place z ON z.doc_id = k.doc_id AND z.i = k.last""")
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each passage begins and ends in its document."""
+    p = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.passages("text")).alias("p"))
+    return p.select("doc_id", "p.ordinal", "p.char_start", "p.char_end")
+
+
 @query("passage_words", "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS words FROM documents")
 def passage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
@@ -120,7 +132,7 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("doc_freq_idf", f"WITH {DOCS}, n AS (SELECT domain, count(*) AS n FROM docs GROUP BY domain), t AS (SELECT DISTINCT domain, doc_id, unnest({tok('text')}) AS term FROM docs), f AS (SELECT domain, term, count(*) AS df FROM t GROUP BY domain, term) SELECT f.domain, term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf, round(greatest(0, ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS idf_bm25 FROM f JOIN n USING (domain)")
 def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    df = I.term_stats(I.postings(d, ["domain", "doc_id"]), ["domain"])
+    df = I.term_stats(I.postings(spread(d.select("domain", "doc_id", "text")), ["domain", "doc_id"]), ["domain"])
     n = d.groupBy("domain").agg(F.count("*").alias("n"))
     return df.join(F.broadcast(n), "domain").select("domain", "term", "df", F.round(I.idf_smooth(F.col("n"), F.col("df")), 6).alias("idf"), F.round(I.idf_bm25(F.col("n"), F.col("df")), 6).alias("idf_bm25"))
 
@@ -131,37 +143,35 @@ w AS (SELECT domain, doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id
 m AS (SELECT domain, term, sum(w) / any_value(size) AS w FROM w JOIN size USING (domain) GROUP BY domain, term), c AS (SELECT domain, term, w / sqrt(sum(w * w) OVER (PARTITION BY domain)) AS w FROM m)"""
 
 
-def unit_weights(d: DataFrame) -> DataFrame:
-    keys = ["domain", "doc_id"]
-    post = I.postings(d, keys)
-    n = d.agg(F.count("*").alias("n"))
-    return I.tfidf(post, I.term_stats(post, []).crossJoin(F.broadcast(n)), F.col("n"), keys, [])
+def unit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, term statistics with n, unit weights): over postings that are written once."""
+    d, post = document_postings(spark, sf_dir)
+    stats = I.term_stats(post, []).crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
+    return d, stats, I.tfidf(post, stats, F.col("n"), ["domain", "doc_id"], [])
 
 
 @query("tfidf_unit_weights", f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM w WHERE w >= 0.2")
 def tfidf_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_weights(documents(spark, sf_dir)).where("w >= 0.2").select("doc_id", "term", F.round("w", 6).alias("w"))
+    return unit_weights(spark, sf_dir)[2].where("w >= 0.2").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query("tfidf_all_unit_weights")
 def tfidf_all_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit weight; tfidf_unit_weights, held by its SQL, gives those of 0.2 or more."""
-    return unit_weights(documents(spark, sf_dir)).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return unit_weights(spark, sf_dir)[2].select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query("domain_centroid", f"WITH {TFIDF} SELECT domain, term, round(w, 6) AS w FROM c")
 def domain_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return I.centroids(unit_weights(d), d).select("domain", "term", F.round("w", 6).alias("w"))
+    d, _, weights = unit_weights(spark, sf_dir)
+    return I.centroids(weights, d).select("domain", "term", F.round("w", 6).alias("w"))
 
 
 @query("query_domain_cosine", f"WITH {TFIDF}, qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY ALL), qr AS (SELECT item_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS r FROM qt JOIN df USING (term), n), qw AS (SELECT item_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY item_id)) AS q FROM qr) SELECT item_id, domain, round(sum(q * w), 6) AS similarity FROM qw JOIN c USING (term) GROUP BY item_id, domain")
 def query_domain_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    keys = ["domain", "doc_id"]
-    df = I.term_stats(I.postings(d, keys), []).crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
-    q = I.tfidf(I.postings(read(spark, sf_dir, "benchmark"), ["item_id"]), df, F.col("n"), ["item_id"], []).withColumnRenamed("w", "q")
-    return q.join(I.centroids(unit_weights(d), d), "term").groupBy("item_id", "domain").agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("similarity"))
+    d, stats, weights = unit_weights(spark, sf_dir)
+    q = I.tfidf(I.postings(read(spark, sf_dir, "benchmark"), ["item_id"]), stats, F.col("n"), ["item_id"], []).withColumnRenamed("w", "q")
+    return q.join(I.centroids(weights, d), "term").groupBy("item_id", "domain").agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("similarity"))
 
 
 @query("clause_split")

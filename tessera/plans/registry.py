@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
+from tessera.operators.index import postings
+from tessera.sources.shared import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
+def document_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(documents without their text, postings by domain and document): every text is read and cut into words once."""
+    d = documents(spark, sf_dir)
+    post = postings(spread(d.select("domain", "doc_id", "text")), ["domain", "doc_id"])
+    return d.drop("text"), Scratch(spark).table(post, "postings")
+
+
 def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 

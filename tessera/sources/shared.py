@@ -1,10 +1,12 @@
-"""The folder that driver and executors share, as the session names it."""
+"""The folder that driver and executors share, as the session names it, and tables in it."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +24,48 @@ def shared_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+class Scratch:
+    """Tables in the shared folder the cluster names in spark.checkpoint.dir.
+
+    Writing a table cuts lineage as checkpoint() does, but compressed and in
+    columns. Files survive a lost executor; they go when dropped or at the
+    driver's exit. Where the setting is absent, only a local session (tests)
+    gets a folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        context = spark.sparkContext
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        jvm = context._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(context._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._path(self.root))
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once; also lets Spark delete the shuffles behind it."""
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        released(self.spark)
+        return out
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+def released(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that shuffle files nothing refers to are deleted now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file of one row group is one task otherwise.
+
+    Large inputs have more splits than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
