@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,48 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import Scratch, released  # noqa: F401
 
 #: Bytes of text that one numpy pass handles; its arrays take about 40 times this.
 SLICE_BYTES = 2 << 20
 
 
-class Scratch:
-    """Tables in the shared folder the cluster names in spark.checkpoint.dir.
-
-    Writing a table cuts lineage as checkpoint() does, but compressed and in
-    columns. Files survive a lost executor; they go when dropped or at the
-    driver's exit. Where the setting is absent, only a local session (tests)
-    gets a folder.
-    """
-
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        jvm = context._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(context._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path(self.root))
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once; also lets Spark delete the shuffles behind it."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        released(self.spark)
-        return out
-
-    def drop(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{name}"), True)
-
-
-def released(spark: SparkSession) -> None:
-    """Collect garbage on the driver, so that shuffle files nothing refers to are deleted now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column` (one row at least)."""
     for batch in batches:

@@ -3,15 +3,16 @@
 The text view is the n-gram classifier of `ngrams`; the metadata view sees no
 words, only language, source, size and layout (lines, letter case, digits,
 punctuation) in quantile bins under a logistic regression. Both start from the
-labelled rows. In each round every view labels the unlabelled pool, and its most
-confident rows of either class join the other view's training rows. At the end
-each view is calibrated (Platt) on labelled rows kept out of its fitting, and a
-document's score is the mean of the calibrated log-odds, as a probability.
+labelled rows. In each round every view scores all unlabelled documents, in one
+distributed pass, and its most confident ones of either class, PER_ROUND in all,
+join the other view's training rows. At the end each view is calibrated (Platt)
+on labelled rows kept out of its fitting, and a document's score is the mean of
+the calibrated log-odds, as a probability.
 
-Fitting takes a bounded sample (fit_rows labelled, pool_rows unlabelled, each of
-at most FIT_CHARS characters, smallest hashed ids first) to the driver; labels of
-rows whose crc32(doc_id) is divisible by 5 are never used. Scoring is one pass
-over whole texts.
+The driver holds fit_rows labelled texts and PER_ROUND pseudo-labelled ones a round
+and view, of at most FIT_CHARS characters each; rows whose crc32(doc_id) is
+divisible by 5 are never learnt from, nor are unlabelled ones of them. Equal texts
+count once. Scoring is one pass over whole texts.
 
 Defined cases: null and empty texts score by their metadata and the text view's
 intercept; null or unseen languages and sources fall in bins of their own; labels
@@ -20,7 +21,7 @@ of one class only give that share as score; every row gets its own result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, sliced, table
+from tessera.llm.common import Scratch, held_out, sliced, table
 from tessera.llm.ngrams import NgramModel, batched, fit_logistic, fit_ngrams, sigmoid
 from tessera.llm.textblocks import utf8, words
 from tessera.llm.toxicity import FIT_CHARS, fit_sample
 
-FIT_ROWS, POOL_ROWS, ROUNDS, PER_ROUND = 2400, 1600, 3, 160
+FIT_ROWS, ROUNDS, PER_ROUND = 2400, 2, 240
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 line end, 5 punctuation
 for _b in range(0x21, 0x7F):
     _CLASS[_b] = 1 if chr(_b).islower() else 2 if chr(_b).isupper() else 3 if chr(_b).isdigit() else 5
@@ -108,54 +109,77 @@ class CoTrained:
         return sigmoid((a + b) / 2), sigmoid(a), sigmoid(b)
 
 
-def co_train(labelled: list, pool: list, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained:
-    """Fit on rows of (text, lang, source, label) and (text, lang, source)."""
+#: Gives the rows (text, lang, source, label) that the text view is sure of, and those that the metadata view is sure of.
+Search = Callable[[NgramModel, PageModel, float], tuple[list, list]]
+
+
+def co_train(labelled: list, search: Search | None = None, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on rows of (text, lang, source, label) and what `search` finds in each round."""
     target = np.array([r.label for r in labelled], float)
     if not len(target) or target.min() == target.max():
         flat = fit_ngrams([], target) if not len(target) else fit_ngrams([r.text for r in labelled], target)
         return CoTrained(flat, PageModel([], {}, np.zeros(1), 0.0), (2.0, 0.0), (0.0, 0.0))
-    texts = [r.text for r in labelled] + [r.text for r in pool]
-    named = [(r.lang, r.source) for r in labelled] + [(r.lang, r.source) for r in pool]
-    numbers = np.concatenate([layout(c) for _, c in batched(texts)])
-    n = len(labelled)
-    calibrate = np.arange(n) % 5 == 0
-    known = np.concatenate([np.where(calibrate, np.nan, target), np.full(len(pool), np.nan)])
-    of_text, of_page = known.copy(), known.copy()
-    share = target.mean()
+    held, learnt = labelled[::5], [r for k, r in enumerate(labelled) if k % 5]
+    of_text, of_page = list(learnt), list(learnt)
+    layouts = lambda rows: np.concatenate([layout(c) for _, c in batched([r.text for r in rows])])
+    labels = lambda rows: np.array([r.label for r in rows], float)
+    names = lambda rows: [(r.lang, r.source) for r in rows]
 
     def fitted() -> tuple[NgramModel, PageModel]:
-        t, p = np.flatnonzero(~np.isnan(of_text)), np.flatnonzero(~np.isnan(of_page))
-        return fit_ngrams([texts[k] for k in t], of_text[t], features=15_000), fit_page(numbers[p], [named[k] for k in p], of_page[p])
-
-    for _ in range(rounds if len(pool) else 0):
-        text, page = fitted()
-        free = np.flatnonzero(np.isnan(of_text) & np.isnan(of_page))
-        free = free[free >= n]
-        if not len(free):
+        return fit_ngrams([r.text for r in of_text], labels(of_text), features=15_000), fit_page(layouts(of_page), names(of_page), labels(of_page))
+
+    for _ in range(rounds if search else 0):
+        sure_by_text, sure_by_page = search(*fitted(), float(target.mean()))
+        if not sure_by_text and not sure_by_page:
             break
-        by_text = np.concatenate([text.margins(c) for _, c in batched([texts[k] for k in free])])
-        by_page = page.margins(numbers[free], [named[k] for k in free])
-        for margin, other in ((by_text, of_page), (by_page, of_text)):
-            ranked = free[np.argsort(margin, kind="stable")]
-            low, high = max(1, int(per_round * (1 - share))), max(1, int(per_round * share))
-            sure = np.sort(margin)
-            other[ranked[: low][sure[: low] < 0]] = 0
-            other[ranked[-high:][sure[-high:] > 0]] = 1
+        of_page += sure_by_text
+        of_text += sure_by_page
     text, page = fitted()
-    held = np.flatnonzero(calibrate)
-    t_margin = np.concatenate([text.margins(c) for _, c in batched([texts[k] for k in held])])
-    p_margin = page.margins(numbers[held], [named[k] for k in held])
-    return CoTrained(text, page, platt(t_margin, target[held]), platt(p_margin, target[held]))
+    t_margin = np.concatenate([text.margins(c) for _, c in batched([r.text for r in held])])
+    return CoTrained(text, page, platt(t_margin, labels(held)), platt(page.margins(layouts(held), names(held)), labels(held)))
+
+
+def _margins(docs: DataFrame, text: NgramModel, page: PageModel) -> DataFrame:
+    """(doc_id, tag, by_text, by_page) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast((text, page))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, layout_ = shared.value
+        for batch in sliced(batches, limit=1 << 20):
+            column = batch.column("text")
+            named = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), pa.array(words_.margins(column)), pa.array(layout_.margins(layout(column), named))], names=["doc_id", "tag", "by_text", "by_page"])
+
+    return docs.select("doc_id", "tag", "text", "lang", "source").mapInArrow(run, "doc_id long, tag long, by_text double, by_page double")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained:
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     meta = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
     labelled = fit_sample(docs, labels, "quality", meta, fit_rows, FIT_CHARS)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    free = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta).where(F.length("text") <= FIT_CHARS)
-    pool = texts.join(F.broadcast(free), "doc_id").orderBy("doc_id", "text").limit(pool_rows).collect()
-    return co_train(labelled, pool)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta).withColumn("tag", F.xxhash64("text"))
+    texts = texts.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") <= FIT_CHARS))
+    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    taken: list[int] = []
+
+    def search(text: NgramModel, page: PageModel, share: float) -> tuple[list, list]:
+        every = _margins(texts, text, page).join(known, "doc_id", "left_anti").groupBy("tag").agg(F.min(F.struct("doc_id", "by_text", "by_page")).alias("m")).select("tag", "m.*")
+        used = spark.createDataFrame([(t,) for t in taken], "tag long")
+        free = scratch.table(every.join(F.broadcast(used), "tag", "left_anti"), f"margins{len(taken)}")
+        few, many = max(1, int(per_round * share)), max(1, int(per_round * (1 - share)))
+        picks = []
+        for view in ("by_text", "by_page"):
+            low = free.where(F.col(view) < 0).orderBy(view, "tag").limit(many).withColumn("label", F.lit(0))
+            high = free.where(F.col(view) > 0).orderBy(F.desc(view), "tag").limit(few).withColumn("label", F.lit(1))
+            picks.append(low.unionByName(high).select("doc_id", "tag", "label").withColumn("view", F.lit(view)))
+        chosen = scratch.table(picks[0].unionByName(picks[1]), f"chosen{len(taken)}")
+        found = texts.join(F.broadcast(chosen), ["doc_id", "tag"]).groupBy("view", "doc_id", "tag").agg(F.min("label").alias("label"), F.min(F.struct("text", "lang", "source")).alias("row"))
+        rows = found.orderBy("doc_id", "tag").select("view", "tag", "label", "row.*").collect()
+        taken.extend(sorted({r.tag for r in rows}))
+        return [r for r in rows if r.view == "by_text"], [r for r in rows if r.view == "by_page"]
+
+    return co_train(labelled, search, rounds)
 
 
 def score_quality(docs: DataFrame, model: CoTrained) -> DataFrame:

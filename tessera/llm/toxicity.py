@@ -1,10 +1,11 @@
 """Toxicity: a character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
-The model is fitted on the driver from a sample of the labelled rows bounded by
-`fit_rows` and `fit_chars`: the rows whose hashed ids are smallest. Labels of
-rows whose crc32(doc_id) is divisible by 5 are never used. The sample's labels
-are few enough to broadcast, so no text is shuffled; scoring is one pass over
-whole texts with the model's table (4 bytes for each of 2^20 hashed n-grams).
+The model is fitted on the driver from a bounded sample of labelled texts: of
+those of at most `fit_chars` characters the `fit_rows` whose least ids hash lowest.
+Equal texts are one, toxic if any label says so, so the sample never depends on
+partitions. Labels of rows whose crc32(doc_id) is divisible by 5 are never used.
+Only ids, lengths and hashes of texts are shuffled to choose; scoring is one pass
+over whole texts with the model's table (4 bytes for each of 2^20 hashed n-grams).
 
 Defined cases: null and empty texts score as the intercept and no n-gram says;
 without labels of both classes the score is the labelled share (0 without any);
@@ -29,12 +30,14 @@ FIT_ROWS, FIT_CHARS = 4000, 20_000
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, column: str, extra: list[str], rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list:
-    """At most `rows` labelled rows as (doc_id, label, text, *extra), in id order, on the driver."""
+    """At most `rows` labelled texts of at most `chars` characters as (doc_id, label, text, *extra), in id order, on the driver."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).where(F.length("text") <= chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).orderBy("doc_id", "text").limit(rows)
-    return found.select("doc_id", "label", "text", *extra).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).where(F.length("text") <= chars).withColumn("tag", F.xxhash64("text"))
+    fitting = texts.select("doc_id", "tag").join(known, "doc_id").groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    chosen = fitting.orderBy(F.xxhash64("doc_id"), "doc_id", "tag").limit(rows)
+    rest = [c for c in texts.columns if c not in ("doc_id", "tag", "text")]
+    found = texts.join(F.broadcast(chosen), ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.max("label").alias("label"), F.min(F.struct("text", *rest)).alias("row"))
+    return found.orderBy("doc_id", "tag").select("doc_id", "label", "row.*").collect()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> NgramModel:

@@ -312,7 +312,7 @@ RUNS = {
     "packing": packing.pack,
     "simhash": simhash.simhash_components,
     "keep_one": simhash.keep_one,
-    "quality": lambda s, d: quality.score_quality(d, quality.co_train([], [])),
+    "quality": lambda s, d: quality.score_quality(d, quality.co_train([])),
 }
 ONE_EACH = ("toxicity", "substrings", "secrets", "redacted", "fingerprints", "language", "mix", "simhash", "quality")
 
