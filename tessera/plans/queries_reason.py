@@ -350,3 +350,10 @@ def x_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("t", "30 minutes")).agg(F.min("ts").alias("began"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).drop("session_window")
 
 
+@query("x_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def x_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the stream's tumbling windows, over a whole table."""
+    from tessera.streaming.ingest import windowed_counts
+
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(e).withColumn("total", F.round("total", 4))
