@@ -6,7 +6,7 @@ PERIOD that takes both onto anchors. A window of `length` words that occurs twic
 therefore shares an anchor whose length-PERIOD+1 words are equal, at the same
 place of the window. So only about a fifth of the positions is hashed and dealt
 out; anchors that two different texts share are kept, and every window around
-such an anchor is extended to its full length by a second, independent hash.
+such an anchor is extended to its full length by a hash of the whole window.
 
 Equal texts count as one content. Rows of a very common passage meet a map-side
 minimum or a join whose skewed partitions Spark splits; no group is gathered.
@@ -139,11 +139,11 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Ite
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, tag, n_words, content, whole_sha256, smallest; starts: id, tag, starts).
+    """(rows: id, tag, n_words, content, whole_sha256, smallest; starts: content, starts).
 
-    `starts` are the windows that also begin in a document with a smaller id, for
-    the smallest document of each content; other documents of a content lose all
-    their words if they have `length`.
+    `starts` are the windows of a content that also begin in a document with a smaller id
+    than the content's smallest; documents of a content with a larger id than that lose all their words if they
+    have `length`.
     """
     scratch = Scratch(spark)
     base = scratch.table(anchored(docs, length), "anchored")
@@ -161,7 +161,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
     first = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("window", "low")
     first = scratch.table(first, "first")
     repeated = windows.join(first, "window").where("id > low").select("id", "tag", "at")
-    starts = scratch.table(repeated.groupBy("id", "tag").agg(F.collect_set("at").alias("starts")), "starts")
+    of = smallest.select("content", "smallest.id", "smallest.tag")
+    starts = scratch.table(repeated.groupBy("id", "tag").agg(F.collect_set("at").alias("starts")).join(of, ["id", "tag"]).select("content", "starts"), "starts")
     scratch.drop("windows")
     return rows, starts
 
@@ -172,8 +173,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
     copies = rows.where((F.col("id") > F.col("smallest")) & (F.col("n_words") >= length))
     gone = copies.select("id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     rest = rows.where((F.col("id") == F.col("smallest")) | (F.col("n_words") < length))
-    untouched = rest.join(starts, ["id", "tag"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
-    cut = _texts(docs).join(starts, ["id", "tag"]).withColumn("any", F.lit(True)).mapInArrow(lambda it: _removed(it, length, False), "id long, n_words long, n_removed long, kept_sha256 string")
+    untouched = rest.join(starts, "content", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
+    # Rows of one id and content may differ in white space: each is cut in its own text.
+    same = rest.select("id", "tag", "content").distinct().join(starts, "content").select("id", "tag", "starts")
+    cut = _texts(docs).join(same, ["id", "tag"]).withColumn("any", F.lit(True)).mapInArrow(lambda it: _removed(it, length, False), "id long, n_words long, n_removed long, kept_sha256 string")
     return gone.unionByName(untouched).unionByName(cut).select(F.expr(f"nullif(id, {_LAST})").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
