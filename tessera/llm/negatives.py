@@ -39,8 +39,8 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 10
 LOW, HIGH = 30, 90
 #: Components of a sub-vector, centroids of each, rows of the fitting sample, rounds of fitting, lengths of vectors that get a quantiser.
 WIDTH, CENTROIDS, SAMPLE, ROUNDS, LENGTHS = 2, 256, 4096, 6, 8
-#: Pairs of a tile, about; most anchors of a band.
-_TILE, _BAND = 1 << 31, 1 << 16
+#: Pairs of a tile at most, about, and at least; most anchors of a band.
+_TILE, _SMALL, _BAND = 1 << 31, 1 << 16, 1 << 16
 _ROW = "uid long, vec_id long, label int, size int, v binary, codes binary, rest long"
 _NONE = np.iinfo(np.int64).min
 
@@ -214,8 +214,8 @@ def _tile(batches: Iterator[pa.RecordBatch], model: dict[int, np.ndarray], same:
 
 
 def grid(rows: int, anchors: int, tasks: int) -> tuple[int, int]:
-    """(strips of rows, bands of anchors): tiles of bounded work, at least one a task; bands cost copies of all rows, strips of the anchors only."""
-    tiles = max(tasks, -(-rows * anchors // _TILE))
+    """(strips of rows, bands of anchors): tiles of bounded work, one a task where there is enough of it; bands cost copies of all rows, strips those of anchors and of what they find."""
+    tiles = max(1, min(tasks, -(-rows * anchors // _SMALL)), -(-rows * anchors // _TILE))
     bands = max(1, round(math.sqrt(tiles * anchors / max(rows, 1))), -(-anchors // _BAND))
     return -(-tiles // bands), bands
 

@@ -80,3 +80,12 @@ def test_most_rows_are_never_scored(spark, monkeypatch):
     for at in range(0, len(x), 2000):
         anchor.meet(N.Rows(batch, np.arange(at, at + 2000), 64, len(centroids)), True)
     assert anchor.best[0][0].tolist() == np.sort((x * x[0]).sum(1))[::-1][:5].tolist() and sum(scored) < 0.35 * len(x)
+
+
+def test_grid_follows_the_work():
+    assert N.grid(0, 0, 200) == (1, 1)
+    assert N.grid(10_256, 103, 211) == (17, 1)  # small tables do not fill every task with a few rows
+    strips, bands = N.grid(5_000_000, 50_000, 200)
+    assert strips * bands >= 200 and bands <= 3
+    strips, bands = N.grid(10**9, 10**7, 1000)
+    assert strips * bands * N._TILE >= 10**16 and 10**7 / bands <= N._BAND
