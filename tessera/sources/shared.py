@@ -55,6 +55,10 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
+    def close(self) -> None:
+        """Drops all tables now, not at the driver's exit; nothing may read them any more."""
+        self._fs.delete(self._path(self.root), True)
+
 
 def released(spark: SparkSession) -> None:
     """Collect garbage on the driver, so that shuffle files nothing refers to are deleted now."""
