@@ -17,18 +17,20 @@ from tessera.plans.registry import AS_OF, DOCS, content, documents, norm, query,
 from tessera.sources.shared import spread
 
 _CUES = ", ".join("('{}', '{}', {})".format(d, c.replace("'", "''"), w) for d, cues in L.DOMAIN_CUES.items() for c, w in cues.items())
-QUESTIONS = (
-    ("q1", "How do I deploy a new microservice to production"),
-    ("q2", "Who can approve the vendor contract budget"),
-    ("q3", "What is the retention policy for personal data and audit evidence"),
-    ("q4", "zzz qqq"),
-    ("q5", "May I debug api latency with personal data in the logs"),
-)
-_QS = "qs AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{q}')" for k, q in QUESTIONS) + ") v(trace_id, query))"
+#: How the questions of the queries below begin; the rest is a benchmark text without marks and joining words, so each is one clause.
+OPENINGS = (
+    "How do I deploy a new microservice to production", "Who can approve the vendor contract budget", "What is the retention policy for personal data with audit evidence", "Tell me more of",
+    "May I debug api latency with personal data in the logs", "Which privacy checks must a public release with customer data pass", "Why is the database slow for internal users", "How do finance people sign off urgent spend",
+)
+_PLAIN = r"[^A-Za-z]+|\b(?i:and|while|but)\b"
+_QS = "qs AS (SELECT item_id, item_id::VARCHAR AS trace_id, [" + ", ".join(f"'{q}'" for q in OPENINGS) + f"][(item_id % {len(OPENINGS)} + 1)::INT] || ' ' || regexp_replace(text, '{_PLAIN}', ' ', 'g') AS query FROM benchmark)"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "trace_id string, query string")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, trace_id, query: a question of every benchmark text."""
+    b = read(spark, sf_dir, "benchmark")
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("item_id") % len(OPENINGS) + 1).cast("int"))
+    return b.select("item_id", F.col("item_id").cast("string").alias("trace_id"), F.concat(opening, F.lit(" "), F.regexp_replace("text", _PLAIN, " ")).alias("query"))
 
 
 _CUE = f"""{_QS}, cues(domain, cue, weight) AS (VALUES {_CUES}), d(domain, place) AS (VALUES ('technical', 1), ('business', 2), ('compliance', 3)),
@@ -39,41 +41,46 @@ cs AS (SELECT w.trace_id, d.domain, d.place, least(1, 1 - exp(-coalesce(total, 0
 
 @query("cue_score", f"WITH {_CUE} SELECT trace_id, domain, round(cue_score, 6) AS cue_score FROM cs")
 def cue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.cue_scores(questions(spark)).select("trace_id", "domain", F.round("cue_score", 6).alias("cue_score"))
+    return U.cue_scores(questions(spark, sf_dir)).select("trace_id", "domain", F.round("cue_score", 6).alias("cue_score"))
 
 
-_ROUTE = f"{_CUE}, ev AS (SELECT trace_id, domain, place, cue_score, ascii(trace_id[2:2]) % 7 * place / 30.0 AS similarity FROM cs), r AS (SELECT *, CASE WHEN max(greatest(0, similarity)) OVER w > 0 THEN greatest(0, similarity) / max(greatest(0, similarity)) OVER w ELSE 0 END AS ratio FROM ev WINDOW w AS (PARTITION BY trace_id)), sc AS (SELECT *, round(least(1, 1 - (1 - cue_score) * (1 - 0.55 * ratio)), 4) AS score FROM r), rk AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, place) - 1 AS rank, max(score) OVER (PARTITION BY trace_id) AS top FROM sc), sel AS (SELECT *, top >= 0.3 AND score >= greatest(0.3, top * 0.52) AND rank < 3 AS selected FROM rk)"
+_ROUTE = f"{_CUE}, ev AS (SELECT trace_id, domain, place, cue_score, trace_id::BIGINT % 7 * place / 30.0 AS similarity FROM cs), r AS (SELECT *, CASE WHEN max(greatest(0, similarity)) OVER w > 0 THEN greatest(0, similarity) / max(greatest(0, similarity)) OVER w ELSE 0 END AS ratio FROM ev WINDOW w AS (PARTITION BY trace_id)), sc AS (SELECT *, round(least(1, 1 - (1 - cue_score) * (1 - 0.55 * ratio)), 4) AS score FROM r), rk AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, place) - 1 AS rank, max(score) OVER (PARTITION BY trace_id) AS top FROM sc), sel AS (SELECT *, top >= 0.3 AND score >= greatest(0.3, top * 0.52) AND rank < 3 AS selected FROM rk)"
 
 
-def routed(spark: SparkSession) -> DataFrame:
-    cues = U.cue_scores(questions(spark)).select("trace_id", "domain", "cue_score")
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = U.cue_scores(questions(spark, sf_dir)).select("trace_id", "domain", "cue_score")
     place = F.array_position(F.array(*map(F.lit, L.DOMAINS)), F.col("domain"))
-    return U.route(cues.withColumn("similarity", F.ascii(F.substring("trace_id", 2, 1)) % 7 * place / 30.0).withColumn("weight", F.lit(1.0)))
+    return U.route(cues.withColumn("similarity", F.col("trace_id").cast("long") % 7 * place / 30.0).withColumn("weight", F.lit(1.0)))
 
 
 @query("noisy_or_route", f"WITH {_ROUTE} SELECT trace_id, domain, round(ratio, 6) AS ratio, score FROM sel")
 def noisy_or_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routed(spark).select("trace_id", "domain", F.round("ratio", 6).alias("ratio"), "score")
+    return routed(spark, sf_dir).select("trace_id", "domain", F.round("ratio", 6).alias("ratio"), "score")
 
 
 @query("route_select", f"WITH {_ROUTE} SELECT trace_id, domain, rank::INT AS rank FROM sel WHERE selected")
 def route_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routed(spark).where("selected").select("trace_id", "domain", "rank")
+    return routed(spark, sf_dir).where("selected").select("trace_id", "domain", "rank")
 
 
 @query("complexity", f"WITH {_ROUTE}, n AS (SELECT trace_id, count(*) FILTER (WHERE selected) AS n FROM sel GROUP BY trace_id) SELECT trace_id, round(0.2 * least(1, greatest(0, len(regexp_extract_all(lower(query), '\\b(what|which|who|whom|whose|when|where|why|how)\\b')) - 1) / 2) + 0.2 * least(1, greatest(0, len({content('query')}) - 6) / 18) + 0.3 * least(1, greatest(0, n - 1) / 2), 3) AS complexity FROM qs JOIN n USING (trace_id)")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.classified(questions(spark), routed(spark)).select("trace_id", "complexity")
+    return U.classified(questions(spark, sf_dir), routed(spark, sf_dir)).select("trace_id", "complexity")
+
+
+_META = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in L.META_TERMS) + "]"
 
 
-@query("anchor_clause", f"WITH {_QS}, m AS (SELECT trace_id, 'compliance checks apply' AS clause, list_slice(list_filter({content('query')}, lambda t: NOT list_contains({'[' + ', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in L.META_TERMS) + ']'}, t)), 1, 4) AS extra FROM qs) SELECT trace_id, clause || ' ' || array_to_string(extra, ' ') AS anchored FROM m")
+@query("anchor_clause", f"WITH {_QS}, w AS (SELECT trace_id, list_filter({content('query')}, lambda t: NOT list_contains({_META}, t)) AS w FROM qs), m AS (SELECT trace_id, 'compliance checks apply' AS clause, list_slice(list_filter(w, lambda t, i: list_position(w, t) = i), 1, 4) AS extra FROM w) SELECT trace_id, clause || ' ' || array_to_string(extra, ' ') AS anchored FROM m")
 def anchor_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark).select("trace_id", U.anchored_clause(F.lit("compliance checks apply"), F.col("query")).alias("anchored"))
+    return questions(spark, sf_dir).select("trace_id", U.anchored_clause(F.lit("compliance checks apply"), F.col("query")).alias("anchored"))
 
 
-@query("retrieval_params", "SELECT i::INT AS i, intent, greatest(2, least(6, 4 + (c > 0.45)::INT + (c > 0.7)::INT - (NOT p)::INT))::INT AS top_k, round(CASE WHEN intent IN ('requirement', 'approval') THEN 1.35 ELSE 1 END::DOUBLE, 6) AS lexical, round(greatest(0.5, least(0.9, CASE WHEN m THEN 0.68 ELSE 0.85 END - 0.1 * c))::DOUBLE, 6) AS spread, round((0.22 * (1.25 - 0.45 * f))::DOUBLE, 6) AS floor FROM (VALUES (1, 'approval', 0.2, 0.5, true, false), (2, 'diagnostic', 0.5, 0.9, false, true), (3, 'definitional', 0.8, 0.1, true, true)) v(i, intent, c, f, p, m)")
+@query("retrieval_params", "SELECT i, intent, greatest(2, least(6, 4 + (c > 0.45)::INT + (c > 0.7)::INT - (NOT p)::INT))::INT AS top_k, round(CASE WHEN intent IN ('requirement', 'approval') THEN 1.35 ELSE 1 END::DOUBLE, 6) AS lexical, round(greatest(0.5, least(0.9, CASE WHEN m THEN 0.68 ELSE 0.85 END - 0.1 * c))::DOUBLE, 6) AS spread, round((0.22 * (1.25 - 0.45 * f))::DOUBLE, 6) AS floor FROM (SELECT event_id AS i, ['approval', 'diagnostic', 'definitional', 'requirement'][(event_id % 4 + 1)::INT] AS intent, (event_id % 101 / 100.0)::DOUBLE AS c, (event_id * 7 % 101 / 100.0)::DOUBLE AS f, user_id % 2 = 0 AS p, event_id % 3 = 0 AS m FROM events)")
 def retrieval_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([(1, "approval", 0.2, 0.5, True, False), (2, "diagnostic", 0.5, 0.9, False, True), (3, "definitional", 0.8, 0.1, True, True)], "i int, intent string, c double, f double, p boolean, m boolean")
+    """The parameters of questions of all kinds, one an event."""
+    intent = F.element_at(F.array(*map(F.lit, ("approval", "diagnostic", "definitional", "requirement"))), (F.col("event_id") % 4 + 1).cast("int"))
+    v = read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), intent.alias("intent"), (F.col("event_id") % 101 / 100).alias("c"), (F.col("event_id") * 7 % 101 / 100).alias("f"), (F.col("user_id") % 2 == 0).alias("p"), (F.col("event_id") % 3 == 0).alias("m"))
     x = v.select("i", "intent", U.retrieval_params(F.col("intent"), F.col("c"), F.col("f"), F.col("p"), F.col("m"), F.lit(1.0)).alias("x"))
     return x.select("i", "intent", F.col("x.top_k").alias("top_k"), F.round("x.lexical_weight", 6).alias("lexical"), F.round("x.mmr_lambda", 6).alias("spread"), F.round("x.min_score", 6).alias("floor"))
 
@@ -83,7 +90,7 @@ _CTX = ", ".join(f"({n}, '{d}', '{v}', '{c}')" for n, (d, v, cues) in enumerate(
 
 @query("context_extract", f"WITH {_QS}, c(n, dimension, value, cue) AS (VALUES {_CTX}), h AS (SELECT trace_id, dimension, value, n, strpos({norm('query')}, cue) AS pos FROM qs, c) SELECT trace_id, dimension, arg_min(value, pos * 1000 + n) AS value FROM h WHERE pos > 0 GROUP BY ALL")
 def context_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark).select("trace_id", F.explode(C.context("query")).alias("dimension", "value"))
+    return questions(spark, sf_dir).select("trace_id", F.explode(C.context("query")).alias("dimension", "value"))
 
 
 @query("expansion_terms", f"WITH {_QS}, c(n, dimension, value, cue) AS (VALUES {_CTX}), h AS (SELECT trace_id, dimension, arg_min(value, strpos({norm('query')}, cue) * 1000 + n) AS value FROM qs, c WHERE strpos({norm('query')}, cue) > 0 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY dimension) AS place FROM h), x(dimension, value, term_no, term) AS (VALUES " + ", ".join(f"('{d}', '{v}', {n}, '{t}')" for d, v, ts in L.CONTEXT_EXPANSIONS for n, t in enumerate(ts)) + "), r AS (SELECT trace_id, term, row_number() OVER (PARTITION BY trace_id ORDER BY place, term_no) AS n FROM p JOIN x USING (dimension, value)) SELECT trace_id, string_agg(term, '|' ORDER BY n) AS terms FROM r WHERE n <= 4 GROUP BY trace_id")
@@ -222,42 +229,48 @@ def feedback_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.folded(e, ["user_id"], "step", ["ts", "event_id"]).select("user_id", F.round("value", 6).alias("value"))
 
 
-@query("replay_accuracy")
-def replay_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = routed(spark).select("trace_id", "domain", "similarity", "cue_score")
-    expected = spark.createDataFrame([("q1", "technical"), ("q2", "business"), ("q3", "compliance"), ("q5", "technical"), ("q5", "compliance")], "trace_id string, domain string")
-    return spark.createDataFrame(list(enumerate(N.replay(spark, questions(spark), expected, evidence, rounds=4))), "round int, accuracy double")
+_ROUNDS = 4
+_FOLD = ", ".join(f"CASE WHEN ok THEN w{k} ELSE greatest(0.6, least(1.5, w{k} + CASE WHEN e{k} AND NOT b{k} THEN 0.08 WHEN b{k} AND NOT e{k} THEN -0.08 WHEN b{k} THEN 0.02 ELSE 0 END)) END::DOUBLE AS w{k}" for k in (1, 2, 3))
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.replace("@", str(k)) for k in (1, 2, 3))
 
 
-#: Statements planted to contradict: quantity, permission, version, and two that agree.
-STATEMENTS = (
-    (1, "t1", "technical", "Application logs are retained for 90 days.", "runbook", "2025-01-01", "1.0", "active", None, "Logs"),
-    (2, "c1", "compliance", "Application logs must be purged within 30 days.", "policy", "2025-06-01", "2.0", "active", "c0", "Retention"),
-    (3, "c0", "compliance", "Application logs stay until the audit ends.", "policy", "2024-06-01", "1.0", "superseded", None, "Retention"),
-    (4, "t2", "technical", "Enable verbose tracing in production.", "runbook", "2025-01-01", "1.0", "active", None, "Tracing"),
-    (5, "c2", "compliance", "You must not enable verbose tracing in production.", "policy", "2025-01-01", "1.0", "active", None, "Change"),
-)
+@query("replay_accuracy", f"WITH RECURSIVE {_ROUTE}, st AS (SELECT row_number() OVER (ORDER BY trace_id::BIGINT) AS k, {_each('max((1 - (1 - cue_score) * (1 - 0.55 * ratio))::DOUBLE) FILTER (WHERE place = @) AS s@, @ - 1 IN (trace_id::BIGINT % 3, trace_id::BIGINT // 3 % 3) AS e@')} FROM sel GROUP BY trace_id), q AS (SELECT count(*) AS q FROM st), w AS (SELECT 0::BIGINT AS n, {_each('1::DOUBLE AS w@')}, false AS ok UNION ALL "
+       f"SELECT n + 1, {_FOLD}, ok FROM (SELECT *, {' AND '.join(f'b{k} = e{k}' for k in (1, 2, 3))} AS ok FROM (SELECT * EXCLUDE (ok), {_each('top >= 0.3 AND c@ >= greatest(0.3, top * 0.52) AS b@')} FROM (SELECT *, greatest(c1, c2, c3) AS top FROM (SELECT *, {_each('round(least(1, s@ * w@), 4) AS c@')} FROM w, q JOIN st ON st.k = w.n % q.q + 1 WHERE w.n < {_ROUNDS} * q.q))))) "
+       f"SELECT ((n - 1) // q + 1)::INT AS round, round(avg(ok::INT), 4) AS accuracy, round(arg_max(w1, n), 6) AS technical, round(arg_max(w2, n), 6) AS business, round(arg_max(w3, n), 6) AS compliance FROM w, q WHERE n > 0 GROUP BY 1")
+def replay_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing learnt over every question, each of which is routed with what those before it have left."""
+    item, place = F.col("trace_id").cast("long"), F.array_position(F.array(*map(F.lit, L.DOMAINS)), F.col("domain")) - 1
+    labelled = routed(spark, sf_dir).select(item.alias("seq"), "domain", "similarity", "cue_score", ((place == item % 3) | (place == F.floor(item / 3) % 3)).alias("expected"))
+    out = N.replay(labelled, _ROUNDS)
+    return out.select("round", "accuracy", *(F.round(d, 6).alias(d) for d in L.DOMAINS))
 
 
-def planted_conflicts(spark: SparkSession) -> DataFrame:
+def replaced_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two claims of one wording for every document that supersedes another: the old one's and its own."""
     from tessera.functions.text import polarity, with_measurements
 
-    rows = spark.createDataFrame(STATEMENTS, "seq int, doc_id string, domain string, claim string, authority string, effective string, version string, status string, supersedes string, title string")
-    rows = with_measurements(rows.withColumns({"trace_id": F.lit("t"), "claim_id": F.col("doc_id"), "effective": F.col("effective").cast("date"), "section": F.lit(""), "confidence": F.lit(0.5), "relevance": F.lit(0.5), "tokens": F.array_distinct(tokens("claim")), "polarity": polarity("claim")}), "claim")
-    return E.detect_conflicts(rows, F.lit(AS_OF).cast("date"))
+    d = K.retire(documents(spark, sf_dir).withColumn("status", F.lit("active"))).select("doc_id", "domain", "authority", "effective", F.col("version_no").cast("string").alias("version"), "status", "supersedes", "source")
+    new = d.where("supersedes IS NOT NULL").select(F.col("doc_id").alias("trace_id"), F.lit(1).alias("seq"), "*")
+    old = d.drop("supersedes").join(new.select("trace_id", F.col("supersedes").alias("doc_id")), "doc_id").withColumns({"seq": F.lit(2), "supersedes": F.lit(None).cast("long")})
+    rows = new.unionByName(old.select(*new.columns)).withColumns({"claim": F.lit("Shipping logs are kept by the archive team."), "claim_id": F.col("doc_id").cast("string"), "confidence": F.lit(0.5), "relevance": F.lit(0.5), "title": F.lit("Logs"), "section": F.lit("")})
+    return with_measurements(rows.withColumns({"tokens": F.array_distinct(tokens("claim")), "polarity": polarity("claim")}), "claim")
 
 
-_PLANTED = (("numeric", "c1", "t1", True), ("supersession", "c1", "c0", True), ("polarity", "c2", "t2", True))
+def superseding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.detect_conflicts(replaced_claims(spark, sf_dir), F.lit(AS_OF).cast("date"))
 
 
-@query("conflicts", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}', '{lo}', {str(d).lower()})" for k, w, lo, d in _PLANTED) + ") v(kind, winner, loser, decisive)")
-def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted_conflicts(spark).select("kind", F.col("winner_doc_id").alias("winner"), F.col("loser_doc_id").alias("loser"), "decisive")
+_STANDING = f"round(0.34 * [1.0, 0.85, 0.65, 0.4][list_position({'[' + ', '.join(repr(a) for a in L.AUTHORITY_WEIGHTS) + ']'}, authority)]::DOUBLE + 0.26 * [0.7, 0.85, 1.0][list_position({'[' + ', '.join(repr(d) for d in L.DOMAINS) + ']'}, domain)]::DOUBLE + 0.22 * pow(0.5, greatest(0, date_diff('day', effective, DATE '{AS_OF}')) / 540.0) + 0.09, 4)"
+_REPLACED = f"{DOCS}, sc AS (SELECT doc_id, supersedes, {_STANDING} AS score FROM docs), rep AS (SELECT a.doc_id AS winner, b.doc_id AS loser, round(abs(a.score - b.score), 4) AS margin FROM sc a JOIN sc b ON a.supersedes = b.doc_id)"
 
 
-@query("adjudicate", "WITH d(kind, wa, wp, we, la, lp, le) AS (VALUES ('numeric', 1.0, 1.0, DATE '2025-06-01', 0.65, 0.7, DATE '2025-01-01'), ('polarity', 1.0, 1.0, DATE '2025-01-01', 0.65, 0.7, DATE '2025-01-01'), ('supersession', 1.0, 1.0, DATE '2025-06-01', 1.0, 1.0, DATE '2024-06-01')), s AS (SELECT kind, round(0.34 * wa + 0.26 * wp + 0.22 * pow(0.5, date_diff('day', we, DATE '2026-01-01') / 540.0) + 0.09, 4) AS w, round(0.34 * la + 0.26 * lp + 0.22 * pow(0.5, date_diff('day', le, DATE '2026-01-01') / 540.0) + 0.09, 4) AS l FROM d) SELECT kind, round(abs(w - l), 4) AS margin FROM s")
+@query("adjudicate", f"WITH {_REPLACED} SELECT 'supersession' AS kind, winner, loser, margin FROM rep")
 def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted_conflicts(spark).select("kind", "margin")
+    """Old and new versions of every document: the active one wins, whatever the scores, which give the margin."""
+    return superseding(spark, sf_dir).select("kind", F.col("winner_doc_id").alias("winner"), F.col("loser_doc_id").alias("loser"), "margin")
 
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -298,6 +311,13 @@ def polarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _disputes(spark, sf_dir, "polarity")
 
 
+@query("conflicts", f"WITH {_REPLACED}, {_PAIRS} SELECT kind, count(*) AS n, count(*) FILTER (WHERE round(abs(a_score - b_score), 4) >= 0.08) AS decisive FROM pairs WHERE kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'supersession', count(*), count(*) FROM rep")
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions of all three kinds, and how many of them are decisive."""
+    found = E.detect_conflicts(statements(spark, sf_dir), F.lit(AS_OF).cast("date"), None).select("kind", "decisive").unionByName(superseding(spark, sf_dir).select("kind", "decisive"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("decisive").alias("decisive"))
+
+
 @query("dispute_dedup", f"WITH {_PAIRS} SELECT trace_id, kind, a::VARCHAR AS left_claim, b::VARCHAR AS right_claim, strength FROM pairs WHERE kind IS NOT NULL AND a % 2 <> b % 2 QUALIFY row_number() OVER (PARTITION BY trace_id, kind ORDER BY strength DESC, a, b) = 1")
 def dispute_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair that stands for each dispute, where two documents hold all claims of an order."""

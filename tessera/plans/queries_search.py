@@ -9,8 +9,10 @@ from tessera.functions import scoring as S
 from tessera.functions.text import tokens
 from tessera.operators import index as I
 from tessera.operators import retrieval as R
+from tessera.operators.topk import ImpactIndex
 from tessera.operators.vectors import VectorIndex
 from tessera.plans.registry import AS_OF, DOCS, document_postings, documents, query, read, tok
+from tessera.sources.shared import Scratch
 
 _BM25 = f"""{DOCS}, tf AS (SELECT domain, doc_id, term, count(*) AS tf FROM (SELECT domain, doc_id, unnest({tok('text')}) AS term FROM docs) GROUP BY ALL),
 len AS (SELECT domain, doc_id, len({tok('text')}) AS len FROM docs), sp AS (SELECT domain, count(*) AS n, avg(len) AS avg_len FROM len GROUP BY domain),
@@ -33,6 +35,23 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(s, ["item_id", "domain"], "score", ["doc_id"], "rank").where("rank <= 10").select("item_id", "domain", "doc_id", "score", "rank")
 
 
+@query("bm25_topk_blocks", f"WITH {_BM25} SELECT item_id, domain, doc_id, round(score, 5) AS score, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, domain ORDER BY round(score, 5) DESC, doc_id) AS rn FROM s) WHERE rn <= 10")
+def bm25_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ten as bm25_topk, without the postings of blocks that cannot hold them."""
+    return bm25_blocks(spark, sf_dir)[0].select("item_id", "domain", "doc_id", "score", "rank")
+
+
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    """(ten best documents of each benchmark text and domain, rows of postings that were joined and that match)."""
+    (d, post), keys, scratch = document_postings(spark, sf_dir), ["domain", "doc_id"], Scratch(spark)
+    stored = lambda df: scratch.table(df, f"t{len(made)}{made.append(0) or ''}")
+    made: list[int] = []
+    index = ImpactIndex.build(post, I.lengths(post, d, keys), keys, stored)
+    q = I.query_terms(read(spark, sf_dir, "benchmark"), ["item_id"])
+    domains = F.explode(F.array(*map(F.lit, ("technical", "business", "compliance")))).alias("domain")
+    return index.top(q.select("*", domains), ["item_id"], 10, stored, F.round("lexical", 5), 1e-5)
+
+
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS q_id, v AS qv FROM e WHERE vec_id % 100 = 0), s AS (SELECT q_id, vec_id, label, list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) AS c FROM q, e WHERE q_id <> vec_id)"
 
 

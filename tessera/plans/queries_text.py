@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import index as I
 from tessera.operators import understanding as U
@@ -90,11 +91,14 @@ def truncate_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEG = "['not','never','no','cannot','prohibited','forbidden','disallowed','must-not','may-not','banned','denied','refuse','reject','rejected','withdrawn']"
 _POL = f"CASE WHEN len(list_filter(regexp_extract_all(regexp_replace(regexp_replace({{n}}, '\\b(must|may|should|can|will|shall)\\s+not\\b', '\\1-not', 'g'), '\\bis\\s+not\\b|\\bare\\s+not\\b|\\bdo\\s+not\\b|\\bdoes\\s+not\\b', 'not', 'g'), '[a-z0-9]+(?:[-''][a-z0-9]+)*'), lambda t: list_contains({_NEG}, t))) % 2 = 1 THEN -1 ELSE 1 END"
 POLARITY_CASES = ("You must not deploy.", "You may not never deploy.", "It is not required.", "Access shall not pass.", "Never and no.", "Deploy now.", "Requests are not denied.", "")
+_POLAR = "[" + ", ".join(f"'{c}'" for c in POLARITY_CASES) + f"][((conv_id + turn) % {len(POLARITY_CASES)} + 1)::INT] || ' ' || text"
 
 
-@query("polarity", "SELECT c AS sentence, " + _POL.replace("{n}", norm("c")) + " AS polarity FROM (VALUES " + ", ".join(f"('{c}')" for c in POLARITY_CASES) + ") v(c)")
+@query("polarity", "SELECT conv_id, turn, " + _POL.replace("{n}", norm(f"({_POLAR})")) + " AS polarity FROM conversations")
 def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in POLARITY_CASES], "sentence string").select("sentence", T.polarity("sentence").alias("polarity"))
+    """Polarity of every turn behind a statement of known polarity."""
+    said = F.element_at(F.array(*map(F.lit, POLARITY_CASES)), ((F.col("conv_id") + F.col("turn")) % len(POLARITY_CASES) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(said, F.lit(" "), "text").alias("s")).select("conv_id", "turn", T.polarity("s").alias("polarity"))
 
 
 @query("polarity_documents", "SELECT polarity, count(*) AS n FROM (SELECT " + _POL.replace("{n}", norm("text")) + " AS polarity FROM documents) GROUP BY polarity")
@@ -102,31 +106,36 @@ def polarity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(T.polarity("text").alias("polarity")).agg(F.count("*").alias("n"))
 
 
-#: Sentences with the quantities that must be read from them.
-MEASURED = (
-    ("Logs are retained for 90 days.", (("90 days", "duration", 90.0, "log,retain"),)),
-    ("Two independent reviewers must approve it within 3 weeks.", (("two reviewers", "people", 2.0, "approve,independent,must,within"), ("3 weeks", "duration", 21.0, "approve,independent,must,within"))),
-    ("Spend above 25,000 EUR needs the council.", (("25000 eur", "currency", 25000.0, "council,need,spend"),)),
-    ("Wait 2.5 hours.", (("2.5 hours", "duration", 2.5 / 24, "wait"),)),
-    ("Version 3 is out.", ()),
-)
-
-
-@query("measurements", "SELECT raw, family, round(base::DOUBLE, 6) AS base, anchors FROM (VALUES " + ", ".join(f"('{r}', '{f}', {b!r}, '{a}')" for _, ms in MEASURED for r, f, b, a in ms) + ") v(raw, family, base, anchors)")
+@query("measurements", """WITH n AS (SELECT o_orderkey % 5 AS shape, o_custkey % 90 + 2 AS n FROM orders), m AS (
+  SELECT n || ' days' AS raw, 'duration' AS family, n::DOUBLE AS base, 'log,retain' AS anchors FROM n WHERE shape = 0
+  UNION ALL SELECT n || '000 eur', 'currency', n * 1000.0, 'council,need,spend' FROM n WHERE shape = 1
+  UNION ALL SELECT n || '.5 hours', 'duration', (n + 0.5) / 24, 'wait' FROM n WHERE shape = 2
+  UNION ALL SELECT 'two reviewers', 'people', 2.0, 'approve,independent,must,within' FROM n WHERE shape = 3
+  UNION ALL SELECT n || ' weeks', 'duration', n * 7.0, 'approve,independent,must,within' FROM n WHERE shape = 3)
+SELECT raw, family, round(base::DOUBLE, 6) AS base, anchors, count(*) AS n FROM m GROUP BY ALL""")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.with_measurements(spark.createDataFrame([(s,) for s, _ in MEASURED], "s string"), "s")
-    return rows.select(F.explode("measurements").alias("m")).select("m.raw", "m.family", F.round("m.base_value", 6).alias("base"), F.array_join("m.anchors", ",").alias("anchors"))
+    """Quantities of a sentence per order, in five shapes: whole numbers, thousands, decimals, words, and none."""
+    n = (F.col("o_custkey") % 90 + 2).cast("string")
+    shapes = (("Logs are retained for ", " days."), ("Spend above ", ",000 EUR needs the council."), ("Wait ", ".5 hours."), ("Two independent reviewers must approve it within ", " weeks."), ("Version ", " is out."))
+    sentence = F.element_at(F.array(*(F.concat(F.lit(a), n, F.lit(z)) for a, z in shapes)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    m = T.with_measurements(read(spark, sf_dir, "orders").select(sentence.alias("s")), "s").select(F.explode("measurements").alias("m"))
+    return m.groupBy("m.raw", "m.family", F.round("m.base_value", 6).alias("base"), F.array_join("m.anchors", ",").alias("anchors")).agg(F.count("*").alias("n"))
 
 
-@query("version_keys", "SELECT v, list_transform(string_split(v, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN p::INT ELSE 0 END)::VARCHAR AS k FROM (VALUES ('1.0'), ('2.10.3'), ('x.4'), ('')) t(v)")
+@query("version_keys", "SELECT v, list_transform(string_split(v, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN p::INT ELSE 0 END)::VARCHAR AS k, count(*) AS n FROM (SELECT [p_size || '.0', p_partkey % 7 || '.' || p_size || '.3', 'x.' || p_size, 'v' || p_partkey % 5 || '.1-rc', ''][(p_partkey % 5 + 1)::INT] AS v FROM part) GROUP BY ALL")
 def version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("1.0",), ("2.10.3",), ("x.4",), ("",)], "v string")
-    return rows.select("v", F.concat(F.lit("["), F.array_join(T.version_key("v").cast("array<string>"), ", "), F.lit("]")).alias("k"))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    forms = F.array(F.concat(size, F.lit(".0")), F.concat((key % 7).cast("string"), F.lit("."), size, F.lit(".3")), F.concat(F.lit("x."), size), F.concat(F.lit("v"), (key % 5).cast("string"), F.lit(".1-rc")), F.lit(""))
+    rows = read(spark, sf_dir, "part").select(F.element_at(forms, (key % 5 + 1).cast("int")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    return rows.select("v", F.concat(F.lit("["), F.array_join(T.version_key("v").cast("array<string>"), ", "), F.lit("]")).alias("k"), "n")
 
 
-@query("parse_dates", "SELECT s, coalesce(try_cast(s AS DATE), DATE '2000-01-01') AS d FROM (VALUES ('2025-03-04'), ('soon'), ('2025-13-01')) t(s)")
+@query("parse_dates", "SELECT s, coalesce(try_cast(s AS DATE), DATE '2000-01-01') AS d, count(*) AS n FROM (SELECT [o_orderdate::DATE::VARCHAR, 'soon', strftime(o_orderdate, '%Y') || '-13-' || strftime(o_orderdate, '%d'), '', strftime(o_orderdate, '%d.%m.%Y')][(o_orderkey % 5 + 1)::INT] AS s FROM orders) GROUP BY ALL")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("2025-03-04",), ("soon",), ("2025-13-01",)], "s string").select("s", T.parse_date("s").alias("d"))
+    day = lambda form: F.date_format("o_orderdate", form)
+    forms = F.array(day("yyyy-MM-dd"), F.lit("soon"), F.concat(day("yyyy"), F.lit("-13-"), day("dd")), F.lit(""), day("dd.MM.yyyy"))
+    rows = read(spark, sf_dir, "orders").select(F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    return rows.select("s", T.parse_date("s").alias("d"), "n")
 
 
 @query("doc_freq_idf", f"WITH {DOCS}, n AS (SELECT domain, count(*) AS n FROM docs GROUP BY domain), t AS (SELECT DISTINCT domain, doc_id, unnest({tok('text')}) AS term FROM docs), f AS (SELECT domain, term, count(*) AS df FROM t GROUP BY domain, term) SELECT f.domain, term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf, round(greatest(0, ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS idf_bm25 FROM f JOIN n USING (domain)")
@@ -150,15 +159,16 @@ def unit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return d, stats, I.tfidf(post, stats, F.col("n"), ["domain", "doc_id"], [])
 
 
-@query("tfidf_unit_weights", f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM w WHERE w >= 0.2")
+@query("tfidf_unit_weights", f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM w")
 def tfidf_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_weights(spark, sf_dir)[2].where("w >= 0.2").select("doc_id", "term", F.round("w", 6).alias("w"))
+    """Every unit weight of every document."""
+    return unit_weights(spark, sf_dir)[2].select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
-@query("tfidf_all_unit_weights")
+@query("tfidf_all_unit_weights", f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM w")
 def tfidf_all_unit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit weight; tfidf_unit_weights, held by its SQL, gives those of 0.2 or more."""
-    return unit_weights(spark, sf_dir)[2].select("doc_id", "term", F.round("w", 6).alias("w"))
+    """The same as tfidf_unit_weights, which once gave the larger weights only."""
+    return tfidf_unit_weights(spark, sf_dir)
 
 
 @query("domain_centroid", f"WITH {TFIDF} SELECT domain, term, round(w, 6) AS w FROM c")
@@ -179,20 +189,21 @@ def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(U.clauses("text")).alias("n", "clause"))
 
 
-CASES = (
-    (1, "What's the process for deploying a new service and what checks are needed?", "procedural", "What's the process for deploying a new service checks are needed"),
-    (2, "Why is the api slow", "diagnostic", "Why is the api slow"),
-    (3, "Who can approve the vendor contract; must legal sign it before the release?", "approval", "Who can approve the vendor contract|must legal sign it before the release"),
-    (4, "build or buy a cache", "comparative", "build or buy a cache"),
-    (5, "what is a dpia", "definitional", "what is a dpia"),
-    (6, "tell me everything", "requirement", "tell me everything"),
-)
+#: What the questions of intent_and_clauses begin with.
+ASKED = ("What's the process for deploying a new service", "Why is the api slow", "Who can approve the vendor contract", "build or buy a cache", "what is a dpia", "tell me everything")
+_BREAKS = [b for b in L.CLAUSE_SPLITTERS if "(?=" not in b]  # a text has no question mark here
+_INTENT = "CASE " + " ".join("WHEN " + " OR ".join("contains(x, '{}')".format(c.replace("'", "''")) for c in cues) + f" THEN '{name}'" for name, cues in L.INTENTS) + f" ELSE '{L.DEFAULT_INTENT}' END"
 
 
-@query("intent_and_clauses", "SELECT id::BIGINT AS id, intent, clauses FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, a, c.replace("'", "''")) for i, _, a, c in CASES) + ") v(id, intent, clauses)")
+@query("intent_and_clauses", f"""WITH q AS (SELECT item_id, [{', '.join("'" + a.replace("'", "''") + "'" for a in ASKED)}][(item_id % {len(ASKED)} + 1)::INT] || '; ' || regexp_replace(replace(text, '?', '.'), '\\.\\s*', '; ', 'g') AS q FROM benchmark),
+c AS (SELECT item_id, {norm('q')} AS x, list_filter(list_transform(string_split_regex(q, '(?i){'|'.join(_BREAKS)}'), lambda p: regexp_replace(p, '^[ ,;?]+|[ ,;?]+$', '', 'g')), lambda p: p <> '') AS parts FROM q)
+SELECT item_id, {_INTENT} AS intent, list_reduce(parts, lambda a, p: a || CASE WHEN len(regexp_extract_all(p, '\\S+')) < 4 THEN ' ' ELSE '|' END || p) AS clauses FROM c""")
 def intent_and_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q) for i, q, _, _ in CASES], "id long, q string")
-    return rows.select("id", U.intent("q").alias("intent"), F.array_join(U.clauses("q"), "|").alias("clauses"))
+    """Intent and clauses of a question per benchmark text, whose sentences are its clauses; short ones join the one before."""
+    opening = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    q = F.concat(opening, F.lit("; "), F.regexp_replace(F.replace(F.col("text"), F.lit("?"), F.lit(".")), "\\.\\s*", "; "))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", q.alias("q"))
+    return rows.select("item_id", U.intent("q").alias("intent"), F.array_join(U.clauses("q"), "|").alias("clauses"))
 
 
 @query("duplicate_sentences", f"SELECT sentence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({sent('text')}) AS sentence FROM documents) GROUP BY sentence HAVING count(DISTINCT doc_id) > 1")

@@ -9,7 +9,7 @@ from tessera.plans.catalog import ORACLES, QUERIES
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"engine_answers", "lsa_similarity", "replay_accuracy"}
+SLOW = {"engine_answers", "lsa_similarity"}  # in test_engine.py and test_latent.py
 
 
 def shown(v):
