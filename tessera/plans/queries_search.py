@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
-from tessera.functions.text import tokens
+from tessera.functions.text import sentences, tokens
 from tessera.operators import index as I
 from tessera.operators import retrieval as R
+from tessera.operators.similarity import similar_pairs
 from tessera.operators.topk import ImpactIndex
 from tessera.operators.vectors import VectorIndex
+from tessera.plans.queries_text import sent
 from tessera.plans.registry import AS_OF, DOCS, document_postings, documents, query, read, tok
-from tessera.sources.shared import Scratch
+from tessera.sources.shared import Scratch, spread
 
 _BM25 = f"""{DOCS}, tf AS (SELECT domain, doc_id, term, count(*) AS tf FROM (SELECT domain, doc_id, unnest({tok('text')}) AS term FROM docs) GROUP BY ALL),
 len AS (SELECT domain, doc_id, len({tok('text')}) AS len FROM docs), sp AS (SELECT domain, count(*) AS n, avg(len) AS avg_len FROM len GROUP BY domain),
@@ -137,6 +139,28 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("jaccard"))
 
 
+def _sentences(name: str, table: str, keep: str) -> str:
+    return f"{name} AS (SELECT DISTINCT {keep} sentence, list_distinct({tok('sentence')}) AS w FROM (SELECT {keep} unnest({sent('text')}) AS sentence FROM {table}))"
+
+
+@query("similar_sentences", f"WITH {_sentences('b', 'benchmark', '')}, {_sentences('d', 'documents', '')} SELECT b.sentence AS benchmark_sentence, d.sentence AS document_sentence, round(len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))), 6) AS jaccard FROM b JOIN d ON len(d.w) >= 0.72 * len(b.w) AND len(b.w) >= 0.72 * len(d.w) AND len(list_intersect(b.w, d.w)) >= 0.72 * (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))) WHERE len(b.w) > 0 AND len(d.w) > 0")
+def similar_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of benchmark texts and of documents that are near-duplicates of one another, at the engine's own limit."""
+    scratch = Scratch(spark)
+
+    def sets(name: str) -> tuple[DataFrame, DataFrame]:
+        """(each sentence and the number of its set of words, the sets by number); sentences of one set share it."""
+        rows = spread(read(spark, sf_dir, name).select("text")).select(F.explode(sentences("text")).alias("sentence")).distinct()
+        rows = scratch.table(rows.select("sentence", F.array_sort(F.array_distinct(tokens("sentence"))).alias("words")), f"{name}-sentences")
+        numbered = scratch.table(rows.select("words").distinct().withColumn("id", F.monotonically_increasing_id()), f"{name}-sets")
+        return rows.join(numbered, "words").select("sentence", "id"), numbered
+
+    (asked, a), (held, b) = sets("benchmark"), sets("documents")
+    pairs = similar_pairs(a, b)
+    out = pairs.join(asked.select(F.col("id").alias("a"), F.col("sentence").alias("benchmark_sentence")), "a").join(held.select(F.col("id").alias("b"), F.col("sentence").alias("document_sentence")), "b")
+    return out.select("benchmark_sentence", "document_sentence", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("greedy_dedupe")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(tokens("text")).alias("words"), F.length("text").alias("score"))
