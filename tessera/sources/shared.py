@@ -32,12 +32,13 @@ class Scratch:
     Writing a table cuts lineage as checkpoint() does, but compressed and in
     columns. Files survive a lost executor; they go when dropped or at the
     driver's exit. Where the setting is absent, only a local session (tests)
-    gets a folder.
+    gets a folder. `tidy` lets Spark delete the shuffles behind each table at once,
+    which costs a collection of garbage; steps of a few MB do without.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidy: bool = True):
         context = spark.sparkContext
-        self.spark = spark
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         jvm = context._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -45,11 +46,12 @@ class Scratch:
         self._fs.deleteOnExit(self._path(self.root))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once; also lets Spark delete the shuffles behind it."""
+        """df, written once."""
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        released(self.spark)
+        if self.tidy:
+            released(self.spark)
         return out
 
     def drop(self, name: str) -> None:
