@@ -45,9 +45,9 @@ def bm25_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     """(ten best documents of each benchmark text and domain, rows of postings that were joined and that match)."""
-    (d, post), keys, scratch = document_postings(spark, sf_dir), ["domain", "doc_id"], Scratch(spark)
-    stored = lambda df: scratch.table(df, f"t{len(made)}{made.append(0) or ''}")
+    (d, post), keys, scratch = document_postings(spark, sf_dir), ["domain", "doc_id"], Scratch(spark, tidy=False)
     made: list[int] = []
+    stored = lambda df: made.append(0) or scratch.table(df, f"t{len(made)}")
     index = ImpactIndex.build(post, I.lengths(post, d, keys), keys, stored)
     q = I.query_terms(read(spark, sf_dir, "benchmark"), ["item_id"])
     domains = F.explode(F.array(*map(F.lit, ("technical", "business", "compliance")))).alias("domain")
@@ -146,7 +146,7 @@ def _sentences(name: str, table: str, keep: str) -> str:
 @query("similar_sentences", f"WITH {_sentences('b', 'benchmark', '')}, {_sentences('d', 'documents', '')} SELECT b.sentence AS benchmark_sentence, d.sentence AS document_sentence, round(len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))), 6) AS jaccard FROM b JOIN d ON len(d.w) >= 0.72 * len(b.w) AND len(b.w) >= 0.72 * len(d.w) AND len(list_intersect(b.w, d.w)) >= 0.72 * (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))) WHERE len(b.w) > 0 AND len(d.w) > 0")
 def similar_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of benchmark texts and of documents that are near-duplicates of one another, at the engine's own limit."""
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, tidy=False)
 
     def sets(name: str) -> tuple[DataFrame, DataFrame]:
         """(each sentence and the number of its set of words, the sets by number); sentences of one set share it."""
