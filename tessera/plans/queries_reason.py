@@ -237,9 +237,9 @@ def _each(text: str) -> str:
     return ", ".join(text.replace("@", str(k)) for k in (1, 2, 3))
 
 
-@query("replay_accuracy", f"WITH RECURSIVE {_ROUTE}, st AS (SELECT row_number() OVER (ORDER BY trace_id::BIGINT) AS k, {_each('max((1 - (1 - cue_score) * (1 - 0.55 * ratio))::DOUBLE) FILTER (WHERE place = @) AS s@, @ - 1 IN (trace_id::BIGINT % 3, trace_id::BIGINT // 3 % 3) AS e@')} FROM sel GROUP BY trace_id), q AS (SELECT count(*) AS q FROM st), w AS (SELECT 0::BIGINT AS n, {_each('1::DOUBLE AS w@')}, false AS ok UNION ALL "
-       f"SELECT n + 1, {_FOLD}, ok FROM (SELECT *, {' AND '.join(f'b{k} = e{k}' for k in (1, 2, 3))} AS ok FROM (SELECT * EXCLUDE (ok), {_each('top >= 0.3 AND c@ >= greatest(0.3, top * 0.52) AS b@')} FROM (SELECT *, greatest(c1, c2, c3) AS top FROM (SELECT *, {_each('round(least(1, s@ * w@), 4) AS c@')} FROM w, q JOIN st ON st.k = w.n % q.q + 1 WHERE w.n < {_ROUNDS} * q.q))))) "
-       f"SELECT ((n - 1) // q + 1)::INT AS round, round(avg(ok::INT), 4) AS accuracy, round(arg_max(w1, n), 6) AS technical, round(arg_max(w2, n), 6) AS business, round(arg_max(w3, n), 6) AS compliance FROM w, q WHERE n > 0 GROUP BY 1")
+@query("replay_accuracy", f"WITH RECURSIVE {_ROUTE}, st AS (SELECT row_number() OVER (ORDER BY trace_id::BIGINT) AS k, {_each('max((1 - (1 - cue_score) * (1 - 0.55 * ratio))::DOUBLE) FILTER (WHERE place = @) AS s@, @ - 1 IN (trace_id::BIGINT % 3, trace_id::BIGINT // 3 % 3) AS e@')} FROM sel GROUP BY trace_id), many AS (SELECT count(*) AS q FROM st), fold AS (SELECT 0::BIGINT AS n, {_each('1::DOUBLE AS w@')}, false AS ok UNION ALL "
+       f"SELECT n + 1, {_FOLD}, ok FROM (SELECT *, {' AND '.join(f'b{k} = e{k}' for k in (1, 2, 3))} AS ok FROM (SELECT * EXCLUDE (ok), {_each('top >= 0.3 AND c@ >= greatest(0.3, top * 0.52) AS b@')} FROM (SELECT *, greatest(c1, c2, c3) AS top FROM (SELECT *, {_each('round(least(1, s@ * w@), 4) AS c@')} FROM fold, many JOIN st ON st.k = fold.n % many.q + 1 WHERE fold.n < {_ROUNDS} * many.q))))) "
+       f"SELECT ((n - 1) // q + 1)::INT AS round, round(avg(ok::INT), 4) AS accuracy, round(arg_max(w1, n), 6) AS technical, round(arg_max(w2, n), 6) AS business, round(arg_max(w3, n), 6) AS compliance FROM fold, many WHERE n > 0 GROUP BY 1")
 def replay_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing learnt over every question, each of which is routed with what those before it have left."""
     item, place = F.col("trace_id").cast("long"), F.array_position(F.array(*map(F.lit, L.DOMAINS)), F.col("domain")) - 1
