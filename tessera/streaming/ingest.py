@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.knowledge import ingest, latest
 from tessera.sources.corpus import SCHEMA, typed_documents, valid_documents
+from tessera.sources.versions import Versions
 
 
 def document_stream(spark: SparkSession, directory: str) -> DataFrame:
@@ -34,6 +35,19 @@ def start_ingest(spark: SparkSession, incoming: str, versions: str, checkpoint:
     return document_stream(spark, incoming).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_versioned_ingest(store: Versions, incoming: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Each batch becomes a version of the store, which rewrites only the buckets the batch touches.
+
+    The batch's number is the version's, so a batch that is run again finds its version complete, or writes it anew.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        good, _ = valid_documents(batch)
+        store.upsert(latest(typed_documents(good), ["doc_id"], ["version", "effective_date", "text"]), number)
+
+    return document_stream(store.spark, incoming).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Extension: counts and sums of events by type in tumbling windows, late ones dropped by watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
