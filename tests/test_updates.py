@@ -37,7 +37,7 @@ def test_versions_equal_whole_tables(spark, tmp_path):
     store.delete(gone)
     assert rows(store.read()) == rows(K.delete(whole, gone))
     assert rows(store.read(5)) == rows(whole)
-    # Deleted documents retire no longer: one that comes back as active stays so unless another one names it.
+    # All come back, active and naming nobody: no edge is left of those that did.
     back = spark.createDataFrame([doc(f"d{k}", "again") for k in range(40)], DOC)
     store.upsert(back)
     assert {r.status for r in store.read().collect()} == {"active"}
