@@ -125,10 +125,11 @@ class Versions:
         return target
 
     def _changed(self, was: DataFrame, now: DataFrame, at: str, n: int) -> set[int]:
-        """Buckets in which a row came, went or changed, compared column by column."""
-        rows = lambda df, sign: df.groupBy(*was.columns).agg(F.count("*").alias("m")).select(*was.columns, (sign * F.col("m")).alias("m"))
-        both = rows(was, 1).unionByName(rows(now.select(*was.columns), -1)).groupBy(*was.columns).agg(F.sum("m").alias("m")).where("m <> 0")
-        return {r.bucket for r in both.select(self._bucket(at, n)).distinct().collect()}
+        """Buckets in which a row came, went or changed. Rows are compared by their SHA-256, so texts are not shuffled for it."""
+        columns = was.columns
+        rows = lambda df, sign: df.select(self._bucket(at, n), F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("digest"), F.lit(sign).alias("m"))
+        both = rows(was, 1).unionByName(rows(now, -1)).groupBy("bucket", "digest").agg(F.sum("m").alias("m")).where("m <> 0")
+        return {r.bucket for r in both.select("bucket").distinct().collect()}
 
     def _write(self, folder: str, part: int, paths: dict[int, list], changed: set[int], now: DataFrame, at: str, n: int) -> None:
         if not changed:
