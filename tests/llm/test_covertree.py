@@ -48,3 +48,18 @@ def test_equidistant_vectors_with_copies(spark):
     x[600:] = x[:100] + 0.01 * rng.normal(size=(100, 64))
     got = links(spark, list(enumerate(x.tolist())), block=128)
     assert [got[k].component_id for k in range(700)] == [*range(600), *range(100)]
+
+
+def test_one_wide_node_does_not_widen_the_bound_of_all(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x[1::500] = x[::500] + 0.09 * rng.normal(size=(4, 64))
+    x[2] = x[0] + 0.6 * np.linalg.norm(x[0]) / 8 * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order, levels = covertree.CoverTree.build(x)
+    tree, looked, least = covertree.CoverTree(x[order], levels), [], np.minimum
+    monkeypatch.setattr(covertree.np, "minimum", lambda a, b: looked.append(np.size(b)) or least(a, b))
+    pairs = {(i, j) for p, q in covertree.near_pairs(tree, tree) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+    dots = x[order] @ x[order].T
+    assert set(zip(*map(np.ndarray.tolist, np.nonzero(dots >= 0.95)), strict=True)) <= pairs
+    assert sum(looked) < 400_000  # of 4,000,000
