@@ -114,12 +114,14 @@ def polarity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT n || ' weeks', 'duration', n * 7.0, 'approve,independent,must,within' FROM n WHERE shape = 3)
 SELECT raw, family, round(base::DOUBLE, 6) AS base, anchors, count(*) AS n FROM m GROUP BY ALL""")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities of a sentence per order, in five shapes: whole numbers, thousands, decimals, words, and none."""
+    """Quantities of a sentence per order, in five shapes: whole numbers, thousands, decimals, words, and none; each different sentence is read once."""
     n = (F.col("o_custkey") % 90 + 2).cast("string")
     shapes = (("Logs are retained for ", " days."), ("Spend above ", ",000 EUR needs the council."), ("Wait ", ".5 hours."), ("Two independent reviewers must approve it within ", " weeks."), ("Version ", " is out."))
     sentence = F.element_at(F.array(*(F.concat(F.lit(a), n, F.lit(z)) for a, z in shapes)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    m = T.with_measurements(read(spark, sf_dir, "orders").select(sentence.alias("s")), "s").select(F.explode("measurements").alias("m"))
-    return m.groupBy("m.raw", "m.family", F.round("m.base_value", 6).alias("base"), F.array_join("m.anchors", ",").alias("anchors")).agg(F.count("*").alias("n"))
+    # explode would have empty arrays filtered before the grouping, that is, measure every row.
+    rows = read(spark, sf_dir, "orders").select(sentence.alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    m = T.with_measurements(rows, "s").select(F.explode_outer("measurements").alias("m"), "n").where("m IS NOT NULL")
+    return m.groupBy("m.raw", "m.family", F.round("m.base_value", 6).alias("base"), F.array_join("m.anchors", ",").alias("anchors")).agg(F.sum("n").alias("n"))
 
 
 @query("version_keys", "SELECT v, list_transform(string_split(v, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN p::INT ELSE 0 END)::VARCHAR AS k, count(*) AS n FROM (SELECT [p_size || '.0', p_partkey % 7 || '.' || p_size || '.3', 'x.' || p_size, 'v' || p_partkey % 5 || '.1-rc', ''][(p_partkey % 5 + 1)::INT] AS v FROM part) GROUP BY ALL")
