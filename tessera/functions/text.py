@@ -110,6 +110,8 @@ def word_count(c: Column) -> Column:
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BREAK = re.compile(L.SENTENCE_BREAK.replace("\\s", "[\t-\r ]"))
 _EDGES, _WORDS = re.compile(f"^[{_SPACE}]+|[{_SPACE}]+$"), re.compile(f"[^{_SPACE}]+")
+#: Characters of texts whose passages are Python objects together, about.
+_SLICE = 1 << 20
 _PASSAGE = "array<struct<ordinal:int,text:string,char_start:int,char_end:int,sentences:int,words:int>>"
 
 
@@ -135,6 +137,25 @@ def packed_passages(text: str, target: int = 70, overlap: int = 1) -> list[tuple
     return [(k, " ".join(y[0] for y in p), p[0][1], p[-1][2], len(p), sum(y[3] for y in p)) for k, p in enumerate(done)]
 
 
+def passage_arrays(column: pa.Array, target: int = 70, overlap: int = 1) -> pa.Array:
+    """The passages of each text; only those of about _SLICE characters are Python objects at a time."""
+    names = ("ordinal", "text", "char_start", "char_end", "sentences", "words")
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    structs, sizes, at = [], [], 0
+    while at < len(column):
+        flat, size = [], 0
+        while at < len(column) and size < _SLICE:
+            text = column[at].as_py() or ""
+            found = packed_passages(text, target, overlap)
+            flat += found
+            sizes.append(len(found))
+            size += len(text) + 1
+            at += 1
+        structs.append(pa.StructArray.from_arrays([pa.array([p[k] for p in flat], kind) for k, kind in enumerate(kinds)], list(names)))
+    held = pa.concat_arrays(structs) if structs else pa.array([], pa.struct(list(zip(names, kinds, strict=True))))
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(sizes, initial=0)), pa.int32()), held, mask=column.is_null())
+
+
 def passages(c: str, target: int = 70, overlap: int = 1) -> Column:
     """Array of (ordinal, text, char_start, char_end, sentences, words): sentences packed up to `target` words.
 
@@ -143,16 +164,10 @@ def passages(c: str, target: int = 70, overlap: int = 1) -> Column:
     Packing needs the sentence before, so it is an Arrow function, linear in the
     text; nested aggregates copy what they have gathered at every sentence.
     """
-    names = ("ordinal", "text", "char_start", "char_end", "sentences", "words")
-    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
     @F.arrow_udf(_PASSAGE)
     def run(column: pa.Array) -> pa.Array:
-        each = [None if t is None else packed_passages(t, target, overlap) for t in column.to_pylist()]
-        flat = [p for found in each if found for p in found]
-        struct = pa.StructArray.from_arrays([pa.array([p[k] for p in flat], kind) for k, kind in enumerate(kinds)], list(names))
-        ends = list(accumulate((len(found or ()) for found in each), initial=0))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct, mask=pa.array([found is None for found in each]))
+        return passage_arrays(column, target, overlap)
 
     return run(F.col(c))
 
