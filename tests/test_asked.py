@@ -2,14 +2,17 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.operators.asked import Asked, Best, asked_counts, best_scores, in_parts
 from tessera.operators.index import query_terms
+from tessera.operators.topk import best_by_blocks
 from tessera.plans.catalog import QUERIES
+from tessera.plans.queries_search import bm25_blocks
+from tessera.sources.shared import Scratch, shared_folder
 
 from tests.conftest import DATA
 
@@ -58,3 +61,27 @@ def test_first_of_many_ties_and_half_digits():
             assert set(sorted((r for r in rows if r[0] == q and r[2] > 0), key=order.get)[:10]) <= held
     assert len(held) < 100
     assert not len(Best(2, 3, 5).cut()[0])
+
+
+def test_blocks_write_less_than_they_read(spark):
+    """Postings, impacts and partial scores were tables once, several times the size of the documents."""
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    written = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    before = written()
+    bm25_blocks(spark, f"{DATA}/sf0.01")
+    assert 0 < written() - before < Path(f"{DATA}/sf0.01/documents.parquet").stat().st_size
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_blocks_equal_scoring_everything(spark, first):
+    """A common and a rare word, ties, copies: the same first ones, and few of the common word's postings read."""
+    docs = [("a", k, "common " * (1 + k % 4) + f"filler{k % 7} " * (k % 9) + (" rare" if k % 50 == 3 else "")) for k in range(2000)] + [("b", k, "common copy") for k in range(300)]
+    units = spark.createDataFrame(docs, "domain string, doc_id long, text string")
+    terms = query_terms(spark.createDataFrame([(1, "common rare"), (2, "copy"), (3, "nowhere")], "q int, text string"), ["q"])
+    asked, scratch, made = Asked.of(terms, "q"), Scratch(spark, tidy=False), []
+    counts = scratch.table(asked_counts(units, asked), "counts")
+    stored = lambda df: made.append(0) or scratch.table(df, f"t{len(made)}")
+    few, read = best_by_blocks(counts, asked, terms.schema["q"], 10, 5, stored, first=first)
+    ranked = lambda df: [sorted((-round(r.lexical, 5), r.doc_id) for r in df.where(f"q = {q} AND domain = '{d}'").collect())[:10] for q in (1, 2, 3) for d in "ab"]
+    assert ranked(few) == ranked(best_scores(counts, asked, terms.schema["q"], 10, 5))
+    assert 0 < read["joined"] < (0.5 if first == 4 else 1) * read["matching"]  # all of domain b ties
