@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import Scratch
@@ -107,15 +107,21 @@ class Versions:
             edge = f"old {schema['supersedes'].dataType.simpleString()}, by {schema['doc_id'].dataType.simpleString()}"
             docs, edges = self._read(before, 0, schema, touched), self._read(before, 1, edge, touched)
             edges_now = edges.join(ids.withColumnRenamed("doc_id", "by"), "by", "left_anti").select("old", "by")
-            docs_now = docs.join(ids, "doc_id", "left_anti")
             if incoming is not None:
                 edges_now = edges_now.unionByName(batch.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("old"), F.col("doc_id").alias("by")))
-                docs_now = docs_now.select(*schema.names).unionByName(batch.select(*schema.names))
-            retired = docs_now.join(edges_now.select(F.col("old").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.lit(True).alias("_old"))
-            docs_now = docs_now.join(retired, "doc_id", "left").withColumn("status", F.when(F.col("_old"), "superseded").otherwise(F.col("status"))).select(*schema.names)
+            # What changes is found from ids, status and a digest of the rest; whole rows move once, to the bucket they are written to.
+            was = scratch.table(self._light(docs, schema.names, n), "was")
+            now = was.join(ids, "doc_id", "left_anti")
+            if incoming is not None:
+                now = now.unionByName(self._light(batch, schema.names, n))
+            old = scratch.table(now.join(edges_now.select(F.col("old").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.lit(True).alias("_old")), "retired")
+            now = now.join(old, "doc_id", "left").withColumn("status", F.when(F.col("_old"), "superseded").otherwise(F.col("status")))
             paths = {b: [*before.get(b, (None, None))] for b in range(n)}
-            for part, name, was, now, at in ((0, "documents", docs, docs_now, "doc_id"), (1, "edges", edges, edges_now, "old")):
-                self._write(f"data/v={target}/{name}", part, paths, self._changed(was, now, at, n), now, at, n)
+            changed = self._changed(was, now, ["doc_id", "status", "digest"])
+            self._write(f"data/v={target}/documents", 0, paths, changed, self._merged(docs, batch, incoming is None, old, schema.names, changed, n))
+            by_old = lambda df: df.select("old", "by", self._bucket("old", n))
+            changed = self._changed(by_old(edges), by_old(edges_now), ["old", "by"])
+            self._write(f"data/v={target}/edges", 1, paths, changed, by_old(edges_now).where(F.col("bucket").isin(*changed)).repartition(max(1, len(changed)), "bucket"))
             if number is None and last is not None and all(tuple(paths[b]) == before[b] for b in paths):
                 return last
         finally:
@@ -124,18 +130,32 @@ class Versions:
         self.spark.createDataFrame([(b, *p) for b, p in paths.items()], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={target}")
         return target
 
-    def _changed(self, was: DataFrame, now: DataFrame, at: str, n: int) -> set[int]:
-        """Buckets in which a row came, went or changed. Rows are compared by their SHA-256, so texts are not shuffled for it."""
-        columns = was.columns
-        rows = lambda df, sign: df.select(self._bucket(at, n), F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("digest"), F.lit(sign).alias("m"))
-        both = rows(was, 1).unionByName(rows(now, -1)).groupBy("bucket", "digest").agg(F.sum("m").alias("m")).where("m <> 0")
+    def _light(self, df: DataFrame, names: list[str], n: int) -> DataFrame:
+        """bucket, doc_id, status and the SHA-256 of all other columns."""
+        digest = F.sha2(F.to_json(F.struct(*(c for c in names if c != "status")), {"ignoreNullFields": "false"}), 256)
+        return df.select(self._bucket("doc_id", n), "doc_id", "status", digest.alias("digest"))
+
+    @staticmethod
+    def _changed(was: DataFrame, now: DataFrame, columns: list[str]) -> set[int]:
+        """Buckets in which a row came, went or changed."""
+        rows = lambda df, sign: df.select("bucket", *columns, F.lit(sign).alias("m"))
+        both = rows(was, 1).unionByName(rows(now, -1)).groupBy("bucket", *columns).agg(F.sum("m").alias("m")).where("m <> 0")
         return {r.bucket for r in both.select("bucket").distinct().collect()}
 
-    def _write(self, folder: str, part: int, paths: dict[int, list], changed: set[int], now: DataFrame, at: str, n: int) -> None:
+    def _merged(self, docs: DataFrame, batch: DataFrame, deleted: bool, old: DataFrame, names: list[str], changed: set[int], n: int) -> DataFrame:
+        """The rows of changed buckets as they are now. Rows, ids that go and ids that are retired are dealt to buckets together, which is the only exchange."""
+        ours = lambda df, side: df.select(*(c for c in names if c in df.columns), self._bucket("doc_id", n), F.lit(side).alias("_side")).where(F.col("bucket").isin(*changed))
+        every = ours(docs, "held").unionByName(ours(batch, "gone" if deleted else "new"), allowMissingColumns=True).unionByName(ours(old, "retired"), allowMissingColumns=True)
+        same = Window.partitionBy("bucket", "doc_id")
+        met = lambda *sides: F.max(F.col("_side").isin(*sides)).over(same)
+        told = every.repartition(max(1, len(changed)), "bucket").withColumns({"_replaced": met("new", "gone"), "_old": met("retired")})
+        kept = told.where((F.col("_side") == "new") | ((F.col("_side") == "held") & ~F.col("_replaced")))
+        return kept.withColumn("status", F.when(F.col("_old"), "superseded").otherwise(F.col("status"))).select(*names, "bucket")
+
+    def _write(self, folder: str, part: int, paths: dict[int, list], changed: set[int], rows: DataFrame) -> None:
         if not changed:
             return
-        rows = now.withColumn("bucket", self._bucket(at, n)).where(F.col("bucket").isin(*changed))
-        rows.repartition(len(changed), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
         for b in changed:
             there = self._fs.exists(self._path(f"{self.root}/{folder}/bucket={b}"))
             paths[b][part] = f"{folder}/bucket={b}" if there else None

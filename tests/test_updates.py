@@ -178,3 +178,21 @@ def test_sketches_by_day_merge_within_bounds(spark):
     assert none.count() == 0
     nulls = spark.createDataFrame([("k", None, None), ("k", None, "m")], "k string, v double, m string")
     assert [tuple(r) for r in estimates(sketched(nulls, ["k"], "v", "m"), ["k"], {"p50": 0.5}).collect()] == [("k", 0, None, None, None, None, 1)]
+
+
+def test_whole_rows_move_once(spark, tmp_path):
+    """Rows, ids that go and ids that are retired meet in one exchange; joins see ids, status and digests alone."""
+    store = Versions(spark, str(tmp_path / "v"), buckets=8)
+    plans, write = [], store._write
+
+    def seen(folder, part, paths, changed, rows):
+        plans.append((part, rows._jdf.queryExecution().executedPlan().toString()))
+        write(folder, part, paths, changed, rows)
+
+    store._write = seen
+    store.upsert(spark.createDataFrame([doc(f"d{k}", "text " * 50, f"d{k + 1}" if k % 3 == 0 else None) for k in range(20)], DOC))
+    store.upsert(spark.createDataFrame([doc(f"d{k}", "other", f"d{k + 1}" if k % 4 == 0 else None) for k in range(5, 25)], DOC))
+    store.delete(spark.createDataFrame([("d3",), ("d8",)], "doc_id string"))
+    whole = [p for part, p in plans if part == 0]
+    assert len(whole) == 3 and all(p.count("Exchange") == 1 and "Join" not in p for p in whole)
+    assert {r.doc_id: r.status for r in store.read().collect()} == {f"d{k}": "superseded" if k in (1, 4, 9, 13, 17, 21) else "active" for k in range(25) if k not in (3, 8)}
