@@ -32,6 +32,13 @@ def _prefixes(ordered: DataFrame, t: float, side: str, grades: Column) -> DataFr
     return rows.withColumn("grade", grades)
 
 
+def _within_reach(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """The sets of right with so many words that left has too as likeness t needs: t of their own. The other words are not shuffled."""
+    known = left.select(F.explode("words").alias("word")).distinct()
+    met = right.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(known, "word", "left_semi").groupBy("id", "n").agg(F.count("*").alias("both"))
+    return right.join(met.where(F.col("both") >= F.col("n") * t - 1e-9).select("id"), "id", "left_semi")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.72) -> DataFrame:
     """(a, b, jaccard) of sets (id, words) whose likeness reaches the threshold: of left with right, or of left with itself (a < b).
 
@@ -42,6 +49,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     clean = lambda df: df.select("id", F.array_distinct("words").alias("words")).where("size(words) > 0")
     own = right is None
     left, right = clean(left), clean(left if own else right)
+    if not own:
+        right = _within_reach(left, right, threshold)
     every = left.select(F.explode("words").alias("word")) if own else left.select(F.explode("words").alias("word")).unionAll(right.select(F.explode("words").alias("word")))
     counts = every.groupBy("word").agg(F.count("*").alias("often"))
     a, b = _ordered(left, counts, threshold, "a"), _ordered(right, counts, threshold, "b")

@@ -66,3 +66,12 @@ def test_few_pairs_are_looked_at(spark):
     assert df.count() == 1000
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "word" in plan
+
+
+def test_sets_out_of_reach_leave_before_words_are_ordered(spark):
+    from tessera.operators.similarity import _within_reach
+
+    left = spark.createDataFrame([(1, ["a", "b", "c"])], "id long, words array<string>")
+    right = spark.createDataFrame([(1, ["a", "b", "c", "x"]), (2, ["a", "b", "x", "y"]), (3, ["z"]), (4, ["a", "b", "c"])], "id long, words array<string>")
+    assert sorted(r.id for r in _within_reach(left, right, 0.72).collect()) == [1, 4]
+    assert sorted((r.a, r.b) for r in similar_pairs(left, right, 0.72).collect()) == [(1, 1), (1, 4)]
